@@ -138,14 +138,30 @@ def words(texts: pa.Array, between: np.ndarray = SPACE) -> Words:
     return Words(low, start, end, np.searchsorted(start, rows), hash_spans(low, start, end))
 
 
+class Sequences:
+    """Hashes of word sequences given by ranges of positions, from prefix sums over all words of a slice."""
+
+    def __init__(self, hashes: np.ndarray, seed: int):
+        self.seed, self.sums = _U(seed), np.zeros(len(hashes) + 1, _U)
+        np.cumsum(mix(hashes ^ self.seed) * odd_powers(len(hashes)), out=self.sums[1:])
+        self.inverse = odd_powers(len(hashes) + 1, True)
+
+    def plain(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Sum of word k times the k-th power: composable, not yet mixed."""
+        return (self.sums[hi] - self.sums[lo]) * self.inverse[lo]
+
+    def hash(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return mix(self.plain(lo, hi) + (hi - lo).astype(_U) + self.seed)
+
+    def without(self, lo: np.ndarray, hi: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Hashes of the ranges with the word at position `at` left out; equal to `hash` of that shorter sequence."""
+        rest = self.plain(lo, at) + self.plain(at + 1, hi) * odd_powers(int((at - lo).max(initial=0)) + 1)[at - lo]
+        return mix(rest + (hi - lo - 1).astype(_U) + self.seed)
+
+
 def sequence_hash(hashes: np.ndarray, first: np.ndarray, seed: int) -> np.ndarray:
     """A hash of the word sequence of each row, 0 words included."""
-    if not len(hashes):
-        sums = np.zeros(1, _U)
-    else:
-        sums = np.concatenate([np.zeros(1, _U), np.cumsum(mix(hashes ^ _U(seed)) * odd_powers(len(hashes)))])
-    lo, hi = first[:-1], first[1:]
-    return mix((sums[hi] - sums[lo]) * odd_powers(int(lo.max(initial=0)) + 1, True)[lo] + (hi - lo).astype(_U) + _U(seed))
+    return Sequences(hashes, seed).hash(first[:-1], first[1:])
 
 
 _cache: dict[bool, np.ndarray] = {}

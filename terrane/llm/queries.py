@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from terrane.llm import exact_dedup, mixing, token_count
+from terrane.llm import decontaminate, exact_dedup, license_scan, line_dedup, lm_score, mixing, ngram_join, quality, substring_dedup, token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_score(_table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -19,11 +24,36 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
+
+
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_count(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_exact_dedup, op7_token_count)}
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_mixing, op3_exact_dedup, op4_substring_dedup, op5_ngram_join, op6_license_scan, op7_token_count, op8_quality, op9_line_dedup, op10_decontaminate)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -63,3 +93,46 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*)
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256
 FROM t""",
 }
+
+
+def _license_sql() -> str:
+    """Templates as regular expressions over the words, each after one space."""
+    labels = sorted({label for label, _ in license_scan.TEMPLATES})
+    patterns = {x: "|".join(f"(?:{license_scan.pattern(license_scan.parse(t))})" for label, t in license_scan.TEMPLATES if label == x) for x in labels}
+    found = ", ".join(f"CASE WHEN regexp_matches(line, '(?:{p})(?: |$)') THEN '{x}' END" for x, p in patterns.items())
+    places = " || ".join("list_filter(range(1, len(w) + 1), lambda i: " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split())) + ")" for phrase in license_scan.PHRASES)
+    base = ", ".join(f"CASE WHEN contains(line || ' ', ' {phrase} ') THEN '{label}' END" for phrase, label in license_scan.PHRASES.items())
+    joined = "array_to_string(list_sort(list_distinct(list_filter({}, lambda x: x IS NOT NULL))), ',')".format
+    return rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+l AS (SELECT doc_id, w, CASE WHEN len(w) > 0 THEN ' ' || array_to_string(w, ' ') ELSE '' END AS line FROM t),
+p AS (SELECT doc_id, len(w)::BIGINT AS n_words, {places} AS places, [{base}] AS b, [{found}] AS f FROM l)
+SELECT doc_id, n_words, len(places)::BIGINT AS n_base, (list_min(places) - 1)::BIGINT AS first_word, (list_max(places) - 1)::BIGINT AS last_word,
+       {joined("b")} AS base_labels, {joined("b || f")} AS labels,
+       CASE WHEN len(list_filter(f, lambda x: x IS NOT NULL)) > 0 THEN 1.0::DOUBLE WHEN len(places) > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score
+FROM p"""
+
+
+ORACLES["op6_license_scan"] = _license_sql()
+
+#: Every alignment of every item with every document that shares a word with it: no seeds.
+ORACLES["op10_decontaminate"] = rf"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ 	-
+]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ 	-
+]+'), lambda x: x <> '') AS w FROM benchmark),
+items AS (SELECT item_id, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS k FROM b WHERE len(w) >= 5),
+common AS (SELECT word FROM items GROUP BY word),
+words AS (SELECT doc_id, word, k FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS k FROM d) SEMI JOIN common USING (word)),
+equal AS (SELECT DISTINCT doc_id, item_id, n, words.k - items.k AS first_word, items.k AS k FROM words JOIN items USING (word)),
+totals AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, first_word) AS equal_words FROM equal),
+likely AS (SELECT * FROM totals WHERE equal_words >= least(n, {decontaminate.WINDOW}) - floor(least(n, {decontaminate.WINDOW}) * {decontaminate.SUBSTITUTIONS} / {decontaminate.WINDOW}.0)),
+windows AS (
+  SELECT doc_id, item_id, first_word, n, equal_words,
+         count(*) OVER (PARTITION BY doc_id, item_id, first_word ORDER BY k RANGE BETWEEN least(n, {decontaminate.WINDOW}) - 1 PRECEDING AND CURRENT ROW) AS inside
+  FROM likely),
+best AS (SELECT doc_id, item_id, first_word, n, equal_words, max(inside) AS best_window FROM windows GROUP BY ALL),
+kept AS (SELECT * FROM best WHERE best_window >= least(n, {decontaminate.WINDOW}) - floor(least(n, {decontaminate.WINDOW}) * {decontaminate.SUBSTITUTIONS} / {decontaminate.WINDOW}.0)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY equal_words DESC, best_window DESC, first_word) AS r FROM kept)
+SELECT doc_id, item_id, first_word::BIGINT AS first_word, n::BIGINT AS item_words, equal_words::BIGINT AS equal_words, best_window::BIGINT AS best_window
+FROM ranked WHERE r = 1"""
