@@ -6,6 +6,8 @@ base ** (length of the right one), so chunks of a huge document can be hashed ap
 Rows with equal fingerprint and length are candidates; their texts are then compared chunk by chunk: all
 texts of a group are equal if, for each chunk number, the smallest chunk equals the largest. That is an
 aggregate which combines before the shuffle, so a group that holds a third of all rows is never in one task.
+A Bloom filter of fixed size keeps texts that no other equals out of that shuffle; it drops no candidate, and
+the more groups there are, the more other texts it lets pass.
 
 Defined results: a null text is empty, and empty texts are equal to each other. Rows that repeat a doc_id
 each give a row; with equal texts they share one `kept`. A null doc_id stays only if its whole group has none.
@@ -25,6 +27,8 @@ from terrane.llm import _text
 from terrane.llm._spark import attach, checkpoint
 
 CHUNK = 4096
+FILTER_BITS = 1 << 25
+SHIFTS = (0, 31)
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1664525893)
 #: Row k: the weights of byte k of a full chunk; a shorter chunk takes the last rows.
@@ -62,35 +66,67 @@ def _rows(batch: pa.RecordBatch):
     return texts, [fingerprint(x) for x in texts]
 
 
-def _prints(batch: pa.RecordBatch) -> pa.RecordBatch:
-    texts, found = _rows(batch)
-    return pa.RecordBatch.from_arrays(
-        [batch.column("doc_id"), pa.array([x << 31 | y for x, y, _ in found], pa.int64()), pa.array([n for *_, n in found], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in texts])],
-        names=["doc_id", "print", "n_bytes", "text_sha256"],
-    )
+def _key(found: list[Print], used: int) -> np.ndarray:
+    return np.array([(x << 31 | y) & ((1 << used) - 1) for x, y, _ in found], np.int64)
 
 
-def _chunks(batch: pa.RecordBatch) -> pa.RecordBatch:
-    prints, lengths, numbers, chunks = [], [], [], []
-    for text, (x, y, n) in zip(*_rows(batch), strict=True):
-        for k in range(0, n, CHUNK):
-            prints.append(x << 31 | y)
-            lengths.append(n)
-            numbers.append(k // CHUNK)
-            chunks.append(text[k : k + CHUNK].tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), pa.array(lengths, pa.int64()), pa.array(numbers, pa.int64()), pa.array(chunks, pa.binary())], names=["print", "n_bytes", "chunk", "data"])
+def _prints(used: int):
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, found = _rows(batch)
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(_key(found, used)), pa.array([n for *_, n in found], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in texts])],
+            names=["doc_id", "print", "n_bytes", "text_sha256"],
+        )
 
+    return rows
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs (doc_id, text)."""
+
+def _chunks(used: int, bits: np.ndarray):
+    """Chunks of the texts whose fingerprint may be shared."""
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        prints, lengths, numbers, chunks = [], [], [], []
+        texts, found = _rows(batch)
+        keys = _key(found, used)
+        for i in np.flatnonzero(_maybe(bits, keys)).tolist():
+            for k in range(0, found[i][2], CHUNK):
+                prints.append(keys[i])
+                lengths.append(found[i][2])
+                numbers.append(k // CHUNK)
+                chunks.append(texts[i][k : k + CHUNK].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), pa.array(lengths, pa.int64()), pa.array(numbers, pa.int64()), pa.array(chunks, pa.binary())], names=["print", "n_bytes", "chunk", "data"])
+
+    return rows
+
+
+def _maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    out = np.ones(len(keys), bool)
+    for shift in SHIFTS:
+        at = (keys >> shift) & (FILTER_BITS - 1)
+        out &= (bits[at >> 6] >> (at & 63) & 1).astype(bool)
+    return out
+
+
+def _filter(prints: DataFrame) -> np.ndarray:
+    """A Bloom filter of FILTER_BITS bits over column `print`; its size doesn't depend on the data."""
+    at = prints.select(F.explode(F.array(*[F.shiftright("print", s).bitwiseAND(FILTER_BITS - 1) for s in SHIFTS])).alias("at"))
+    # shiftleft takes the low six bits of its second argument
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toPandas()
+    bits = np.zeros(FILTER_BITS >> 6, np.int64)
+    bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return bits
+
+
+def exact_dedup(docs: DataFrame, bits: int = 62) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs (doc_id, text); bits: of the fingerprint that are used."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = checkpoint(_text.map_text(texts, _prints, "doc_id long, print long, n_bytes long, text_sha256 string"))
+    prints = checkpoint(_text.map_text(texts, _prints(bits), "doc_id long, print long, n_bytes long, text_sha256 string"))
     keys = ["print", "n_bytes"]
     groups = checkpoint(prints.groupBy(*keys).agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id")))
     total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
-    copies = groups.where("group_size > 1").select(*keys, "group_size")
-    chunks = _text.map_text(texts, _chunks, "print long, n_bytes long, chunk long, data binary")
-    compared = attach(chunks, copies, keys, "group_size", total, "inner").groupBy(*keys, "chunk").agg(F.min("data").alias("low"), F.max("data").alias("high"))
+    maybe = _filter(groups.where("group_size > 1"))
+    chunks = _text.map_text(texts, _chunks(bits, maybe), "print long, n_bytes long, chunk long, data binary")
+    compared = chunks.groupBy(*keys, "chunk").agg(F.min("data").alias("low"), F.max("data").alias("high"))
     unequal = checkpoint(compared.where("low <> high").select(*keys).distinct())
     if unequal.limit(1).count():  # texts that differ share a fingerprint: told apart by their digests
         prints = prints.join(unequal.withColumn("split", F.lit(True)), keys, "left").withColumn("part", F.when(F.col("split"), F.col("text_sha256")).otherwise(F.lit(""))).drop("split")
