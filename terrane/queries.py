@@ -151,10 +151,10 @@ def flt_haversine_radius(spark, sf_dir):
     return filters.radius(s, "lon", "lat", -20.0, 20.0, 5000.0)
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1%' AND p_brand LIKE 'Brand#_%' AND NOT contains(p_type, '_')")
+@query("SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%gear%' AND p_brand LIKE 'Brand#_%' AND NOT contains(p_type, '_')")
 def flt_name_like_escape(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    return p.where(text.name_like(F.col("p_name"), "1") & text.like(F.col("p_brand"), "Brand#_%") & ~text.name_like(F.col("p_type"), "_")).select("p_partkey", "p_name")
+    return p.where(text.name_like(F.col("p_name"), "gear") & text.like(F.col("p_brand"), "Brand#_%") & ~text.name_like(F.col("p_type"), "_")).select("p_partkey", "p_name")
 
 
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE dayofyear(o_orderdate) BETWEEN 60 AND 120 AND o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate <= TIMESTAMP '1997-06-30 12:00:00'")
