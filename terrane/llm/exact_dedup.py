@@ -23,12 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm import _text
+from terrane.llm import _bloom, _text
 from terrane.llm._spark import attach, checkpoint
 
 CHUNK = 4096
-FILTER_BITS = 1 << 25
-SHIFTS = (0, 31)
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1664525893)
 #: Row k: the weights of byte k of a full chunk; a shorter chunk takes the last rows.
@@ -88,7 +86,7 @@ def _chunks(used: int, bits: np.ndarray):
         prints, lengths, numbers, chunks = [], [], [], []
         texts, found = _rows(batch)
         keys = _key(found, used)
-        for i in np.flatnonzero(_maybe(bits, keys)).tolist():
+        for i in np.flatnonzero(_bloom.maybe(bits, keys)).tolist():
             for k in range(0, found[i][2], CHUNK):
                 prints.append(keys[i])
                 lengths.append(found[i][2])
@@ -99,24 +97,6 @@ def _chunks(used: int, bits: np.ndarray):
     return rows
 
 
-def _maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    out = np.ones(len(keys), bool)
-    for shift in SHIFTS:
-        at = (keys >> shift) & (FILTER_BITS - 1)
-        out &= (bits[at >> 6] >> (at & 63) & 1).astype(bool)
-    return out
-
-
-def _filter(prints: DataFrame) -> np.ndarray:
-    """A Bloom filter of FILTER_BITS bits over column `print`; its size doesn't depend on the data."""
-    at = prints.select(F.explode(F.array(*[F.shiftright("print", s).bitwiseAND(FILTER_BITS - 1) for s in SHIFTS])).alias("at"))
-    # shiftleft takes the low six bits of its second argument
-    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toPandas()
-    bits = np.zeros(FILTER_BITS >> 6, np.int64)
-    bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return bits
-
-
 def exact_dedup(docs: DataFrame, bits: int = 62) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs (doc_id, text); bits: of the fingerprint that are used."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -124,7 +104,7 @@ def exact_dedup(docs: DataFrame, bits: int = 62) -> DataFrame:
     keys = ["print", "n_bytes"]
     groups = checkpoint(prints.groupBy(*keys).agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id")))
     total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
-    maybe = _filter(groups.where("group_size > 1"))
+    maybe = _bloom.build(groups.where("group_size > 1"), "print")
     chunks = _text.map_text(texts, _chunks(bits, maybe), "print long, n_bytes long, chunk long, data binary")
     compared = chunks.groupBy(*keys, "chunk").agg(F.min("data").alias("low"), F.max("data").alias("high"))
     unequal = checkpoint(compared.where("low <> high").select(*keys).distinct())

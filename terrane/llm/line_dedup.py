@@ -10,7 +10,7 @@ twice: with the place of the deletion, where all lines of a key are one substitu
 they meet the whole lines that are one word shorter. Keys keep only their earliest line, so a key shared by any
 number of lines makes no pairs. The partner found is then compared word by word. Lines can only have a partner
 if some other line shares their first or last half, so those keys are counted first and lines alone in both
-emit no variants; this loses nothing.
+emit no variants; a Bloom filter of fixed size tells which, and lets some others pass, so nothing is lost.
 
 Defined results: a null text is empty and stays null; lines without words always stay. Rows that repeat a
 doc_id are taken as one document: a line of one is never a copy of the same line number of another, and both
@@ -23,17 +23,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BooleanType
 
-from terrane.llm import _text
+from terrane.llm import _bloom, _text
 from terrane.llm._spark import attach, checkpoint, ship
 
 MIN_WORDS = 2
 NEAR_WORDS = 8
 _SEED = 0x51ED
-_NEW = np.arange(256) == 10
 
 
 def line_starts(low: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,6 +56,16 @@ def _lines(texts: pa.Array):
     return w, row, number, bounds[:-1], bounds[1:]
 
 
+def _halves(s: _text.Sequences, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the first and last (n - 1) // 2 words, and of as many as a line that is one word shorter has; which of them are used."""
+    n = hi - lo
+    for less in (0, 1):
+        h = np.maximum(n - 1 - less, 0) // 2
+        use = (n - less >= NEAR_WORDS) & ((less == 0) | (h != (n - 1) // 2))
+        yield s.hash(lo, lo + h), use
+        yield ~s.hash(hi - h, hi), use
+
+
 def _line_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
     w, row, number, lo, hi = _lines(batch.column("text"))
     n = hi - lo
@@ -61,50 +73,68 @@ def _line_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
     row, number, lo, hi, n = row[ok], number[ok], lo[ok], hi[ok], n[ok]
     s = _text.Sequences(w.hash, _SEED)
     near = n >= NEAR_WORDS
-    # a half has (n - 1) // 2 words; lines also meet those that are one word shorter
-    keys = []
-    for less in (0, 1):
-        h = (n - 1 - less) // 2
-        use = near & (n - less >= NEAR_WORDS) & ((less == 0) | (h != (n - 1) // 2))
-        for part in (s.hash(lo, lo + h), ~s.hash(hi - h, hi)):
-            keys.append(pa.array(_text.signed(part), mask=~use))
+    keys = [pa.array(_text.signed(key), mask=~(near & use)) for key, use in _halves(s, lo, hi)]
     return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(number), pa.array(_text.signed(s.hash(lo, hi))), pa.array(n), *keys], names=["doc_id", "line_no", "line", "n", "k0", "k1", "k2", "k3"])
 
 
 _LINE_ROWS = "doc_id long, line_no long, line long, n long, k0 long, k1 long, k2 long, k3 long"
 
 
-def _wanted_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-    w, row, number, lo, hi = _lines(batch.column("text"))
-    wanted = batch.column("wanted").to_pylist()
-    of = {(r, k) for r, ks in enumerate(wanted) for k in ks}
-    pick = [i for i, key in enumerate(zip(row.tolist(), number.tolist(), strict=True)) if key in of]
-    line = _text.signed(_text.Sequences(w.hash, _SEED).hash(lo, hi))
-    return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row[pick])), pa.array(number[pick]), pa.array(line[pick]), pa.array([w.hash[lo[i] : hi[i]].tobytes() for i in pick], pa.binary())], names=["doc_id", "line_no", "line", "words"])
-
-
-def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys of each line: whole (kind 0), one deleted at a place (1), one deleted anywhere (2; meets kind 0)."""
-    for b in batches:
-        for k in range(0, b.num_rows, 512):
-            part = b.slice(k, 512)
-            words = [np.frombuffer(x, np.uint64) for x in part.column("words").to_pylist()]
-            if not words:
-                continue
-            n = np.array([len(x) for x in words])
-            hi = np.cumsum(n)
-            lo = hi - n
-            s = _text.Sequences(np.concatenate(words), _SEED)
-            owner = np.repeat(np.arange(len(n)), n)
-            at = np.arange(hi[-1])
-            gone = s.without(lo[owner], hi[owner], at)
-            placed = _text.mix(gone + (at - lo[owner]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-            rows = np.concatenate([np.arange(len(n)), owner, owner])
-            key = np.concatenate([s.hash(lo, hi), placed, gone])
-            kind = np.repeat([0, 1, 2], [len(n), len(at), len(at)])
-            _, once = np.unique(np.stack([rows.astype(np.uint64), key, kind.astype(np.uint64)], 1), axis=0, return_index=True)
-            take = pa.array(rows[once])
-            yield pa.RecordBatch.from_arrays([part.column("line").take(take), part.column("doc_id").take(take), part.column("line_no").take(take), pa.array(_text.signed(key[once])), pa.array(kind[once])], names=["line", "doc_id", "line_no", "key", "kind"])
+def _places(batch: pa.RecordBatch) -> pa.RecordBatch:
+    out = _line_rows(batch)
+    return out.select(["doc_id", "line_no", "line"])
+
+
+def _candidates(bits: np.ndarray):
+    """Lines that may share a half with another one, with the hashes of their words."""
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        w, row, number, lo, hi = _lines(batch.column("text"))
+        n = hi - lo
+        ok = np.flatnonzero(n >= NEAR_WORDS)
+        row, number, lo, hi = row[ok], number[ok], lo[ok], hi[ok]
+        s = _text.Sequences(w.hash, _SEED)
+        hit = np.zeros(len(ok), bool)
+        for key, use in _halves(s, lo, hi):
+            hit |= use & _bloom.maybe(bits, _text.signed(key))
+        pick = np.flatnonzero(hit)
+        line = _text.signed(s.hash(lo[pick], hi[pick]))
+        words = [w.hash[lo[i] : hi[i]].tobytes() for i in pick]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row[pick])), pa.array(number[pick]), pa.array(line), pa.array(words, pa.binary())], names=["doc_id", "line_no", "line", "words"])
+
+    return rows
+
+
+def _variants(bits: np.ndarray | None = None):
+    """Keys of each line: whole (kind 0), one deleted at a place (1), one deleted anywhere (2; meets kind 0). bits: which keys are wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 512):
+                part = b.slice(k, 512)
+                words = [np.frombuffer(x, np.uint64) for x in part.column("words").to_pylist()]
+                n = np.array([len(x) for x in words])
+                hi = np.cumsum(n)
+                lo = hi - n
+                s = _text.Sequences(np.concatenate(words), _SEED)
+                owner = np.repeat(np.arange(len(n)), n)
+                at = np.arange(hi[-1])
+                gone = s.without(lo[owner], hi[owner], at)
+                placed = _text.mix(gone + (at - lo[owner]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+                rows = np.concatenate([np.arange(len(n)), owner, owner])
+                key = np.concatenate([s.hash(lo, hi), placed, gone])
+                kind = np.repeat([0, 1, 2], [len(n), len(at), len(at)])
+                if bits is not None:
+                    use = _bloom.maybe(bits, _text.signed(key))
+                    rows, key, kind = rows[use], key[use], kind[use]
+                order = np.lexsort((kind, key, rows))
+                rows, key, kind = rows[order], key[order], kind[order]
+                new = np.ones(len(rows), bool)
+                new[1:] = (rows[1:] != rows[:-1]) | (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])
+                ord_ = np.asarray(part.column("ord"))
+                yield pa.RecordBatch.from_arrays([pa.array(ord_[rows[new]]), pa.array(_text.signed(key[new])), pa.array(kind[new])], names=["ord", "key", "kind"])
+
+    return run
 
 
 def within_one(a: np.ndarray, b: np.ndarray) -> bool:
@@ -132,58 +162,62 @@ def _place() -> Column:
     return F.struct("doc_id", "line_no")
 
 
-def _near(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Lines (line) that have an earlier line one edit away; classes: (line, first, n, k0..k3) of distinct lines."""
-    keys = classes.where(F.col("n") >= NEAR_WORDS).select("line", "first", F.explode(F.array("k0", "k1", "k2", "k3")).alias("key")).where("key is not null")
-    shared = keys.groupBy("key").agg(F.min("line").alias("lo"), F.max("line").alias("hi"), F.count("*").alias("w")).where("lo <> hi").select("key", "w")
-    total = classes.count() * 2
-    found = attach(keys, shared, ["key"], "w", total, "inner").select("line", "first").distinct()
-    wanted = found.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list("first.line_no").alias("wanted")).where("doc_id is not null")
-    ship(docs.sparkSession)
-    lines = docs.join(wanted, "doc_id")
-    lines = checkpoint(_text.map_text(lines, _wanted_rows, "doc_id long, line_no long, line long, words binary").dropDuplicates(["line"]))
-    keyed = lines.mapInArrow(_variants, "line long, doc_id long, line_no long, key long, kind long")
-    keyed = keyed.withColumn("place", _place()).drop("doc_id", "line_no")
-    own, placed, gone = (keyed.where(F.col("kind") == k).select("line", "key", "place") for k in (0, 1, 2))
-    early = lambda df: df.groupBy("key").agg(F.min("place").alias("early"), F.count("*").alias("w"))
-    same = early(placed).where("w > 1")
-    candidates = [
-        placed.join(same.select("key", "early"), "key"),
-        gone.join(own.select("key", F.col("place").alias("early")), "key"),
-        own.join(early(gone).select("key", "early"), "key"),
-    ]
-    pairs = None
-    for c in candidates:
-        c = c.where("early < place").select("line", "early")
-        pairs = c if pairs is None else pairs.union(c)
-    pairs = pairs.groupBy("line").agg(F.min("early").alias("early"))
-    partner = lines.select(_place().alias("early"), F.col("words").alias("partner_words"))
-    compared = pairs.join(lines.select("line", "words"), "line").join(partner, "early").select("line", "words", "partner_words")
-    return compared.mapInArrow(_verified, "line long").distinct()
+def _near(texts: DataFrame) -> DataFrame:
+    """Lines (line) that have an earlier line one edit away."""
+    halves = _text.map_text(texts, _line_rows, _LINE_ROWS).select("line", F.explode(F.array("k0", "k1", "k2", "k3")).alias("key")).where("key is not null")
+    shared = halves.groupBy("key").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi")
+    bits = _bloom.build(shared, "key")
+    found = _text.map_text(texts, _candidates(bits), "doc_id long, line_no long, line long, words binary")
+    found = found.groupBy("line").agg(F.min(_place()).alias("place"), F.first("words").alias("words"))
+    # ids in order of place: numbers of the ranges, then places in them
+    lines = checkpoint(found.repartitionByRange("place").sortWithinPartitions("place").withColumn("ord", F.monotonically_increasing_id()).drop("place"))
+    schema = "ord long, key long, kind long"
+    of = lambda k: F.when(F.col("kind") == k, F.col("ord"))
+    keys = lines.mapInArrow(_variants(), schema).groupBy("key").agg(F.min(of(0)).alias("own"), F.min(of(1)).alias("placed"), F.min(of(2)).alias("gone"), F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.count("*").alias("w"))
+    keys = checkpoint(keys.where("lo <> hi").select("key", "own", "placed", "gone", "w"))
+    again = lines.mapInArrow(_variants(_bloom.build(keys, "key")), schema)
+    total = keys.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+    partner = F.when(F.col("kind") == 0, F.col("gone")).when(F.col("kind") == 1, F.col("placed")).otherwise(F.col("own"))
+    pairs = attach(again, keys, ["key"], "w", total, "inner").select("ord", partner.alias("partner")).where("partner < ord").groupBy("ord").agg(F.min("partner").alias("partner"))
+    compared = pairs.join(lines, "ord").join(lines.select(F.col("ord").alias("partner"), F.col("words").alias("partner_words")), "partner").select("line", "words", "partner_words")
+    return compared.mapInArrow(_verified, "line long")
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """doc_id, removed: the sorted line numbers that go, for each document that loses a line."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = checkpoint(_text.map_text(texts, _line_rows, _LINE_ROWS))
-    classes = lines.groupBy("line").agg(F.min(_place()).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), *[F.first(k).alias(k) for k in ("k0", "k1", "k2", "k3")])
-    classes = checkpoint(classes)
-    near = checkpoint(_near(texts, classes))
+    near = checkpoint(_near(texts))
+    lines = checkpoint(_text.map_text(texts, _places, "doc_id long, line_no long, line long"))
+    classes = lines.groupBy("line").agg(F.min(_place()).alias("first"), F.count("*").alias("copies"))
     marked = classes.join(near.withColumn("near", F.lit(True)), "line", "left").where("near or copies > 1").select("line", "first", "copies", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = attach(lines.select("line", "doc_id", "line_no"), marked, ["line"], "copies", lines.count(), "inner")
+    gone = attach(lines, checkpoint(marked), ["line"], "copies", lines.count(), "inner")
     gone = gone.where(F.col("near") | ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))))
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """docs with repeated lines left out of `text`, and n_lines, n_removed (names that docs has already are replaced)."""
-    removed = removals(docs).select(F.col("doc_id").alias("_of"), F.col("removed").alias("_removed"))
+    ship(docs.sparkSession)
+    removed = checkpoint(removals(docs).select(F.col("doc_id").alias("_of"), F.col("removed").alias("_removed")))
+    bits = _bloom.build(removed.select(_id_hash("_of").alias("key")), "key")
+
+    @pandas_udf(BooleanType())
+    def loses(key: pd.Series) -> pd.Series:
+        return pd.Series(_bloom.maybe(bits, key.to_numpy(np.int64)))
+
     rest = docs.drop(*({"n_lines", "n_removed"} & set(docs.columns)))
-    joined = rest.join(removed, F.col("doc_id").cast("long").eqNullSafe(F.col("_of")), "left")
-    parts = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("_removed", i.cast("long"))), "\n")
+    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
+    # only documents that may lose a line take part in the join
+    hit = loses(_id_hash("doc_id"))
+    whole = rest.where(~hit).select(*rest.columns, lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
+    joined = rest.where(hit).join(removed, F.col("doc_id").cast("long").eqNullSafe(F.col("_of")), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("_removed", i.cast("long"))), "\n")
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept)
-    out = joined.withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")).withColumn("n_removed", F.coalesce(F.size("_removed"), F.lit(0)).cast("long")).withColumn("text", text)
+    out = joined.withColumn("n_lines", lines).withColumn("n_removed", F.coalesce(F.size("_removed"), F.lit(0)).cast("long")).withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.drop("_of", "_removed").select(*rest.columns, "n_lines", "n_removed")
+    return whole.unionByName(out.select(*rest.columns, "n_lines", "n_removed"))
+
+
+def _id_hash(column: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(column).cast("long"), F.lit(-1)))
