@@ -174,3 +174,19 @@ def describe(api: str) -> dict:
 
 def version() -> dict:
     return {"version": VERSION, "about": _about, "defaults": defaults(), "request_types": sorted(ENDPOINTS)}
+
+
+class Client:
+    """Request types as methods: Client(spark, root).atl06p(parms, aoi, resources)."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+
+    def __getattr__(self, api: str):
+        if api not in ENDPOINTS:
+            raise AttributeError(api)
+        return lambda parms=None, aoi=None, resources=None: run(self.spark, api, parms or {}, aoi, resources, self.root)
+
+    def sample(self, points: DataFrame, asset: str, x: str = "longitude", y: str = "latitude", key: str = "value") -> DataFrame:
+        """points with the value of a staged raster."""
+        return sample(self.spark, points, f"{self.root}/rasters/{asset}", key, {}, products.Product("points", "", x=x, y=y))

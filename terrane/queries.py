@@ -371,7 +371,15 @@ def win_extent_explode(spark, sf_dir):
     return extents.summarise(w, TRACK, "x", [r(F.avg("value")).alias("value"), r(F.min("x")).alias("x0")], 3, 20.0, pass_invalid=True)
 
 
-@query()
+_ANCHORS_SQL = f"""
+WITH RECURSIVE {_TRACK_SQL},
+anchors AS (
+  SELECT user_id, 0::BIGINT AS extent, min(x) AS start FROM track GROUP BY user_id
+  UNION ALL
+  SELECT a.user_id, a.extent + 1, min(t.x) FROM anchors a JOIN track t ON t.user_id = a.user_id AND t.x >= a.start + {STEP} GROUP BY a.user_id, a.extent)"""
+
+
+@query(f"{_ANCHORS_SQL} SELECT a.user_id, extent, start, max(x) AS stop, count(*) AS n FROM anchors a JOIN track t ON t.user_id = a.user_id AND x >= start AND x < start + {LENGTH} GROUP BY ALL")
 def win_extent_anchored(spark, sf_dir):
     return extents.anchored(tracks(spark, sf_dir), TRACK, "x", LENGTH, STEP)
 
@@ -404,9 +412,23 @@ def fit_iterative(spark, sf_dir):
     return algorithms.surface_fit(t, TRACK, "x", "value", LENGTH / 10000, STEP / 10000, least_rows=5, least_spread=5.0, sigma_max=200.0, pass_invalid=True)
 
 
-@query()
+_BIN = "least(floor((value - lo) / 10), greatest(ceil((hi - lo) / 10), 1) - 1)"
+
+
+@query(f"""{_ANCHORS_SQL},
+w AS (SELECT a.user_id, extent, x, value, cls FROM anchors a JOIN track t ON t.user_id = a.user_id AND x >= start AND x < start + {LENGTH}),
+m AS (SELECT user_id, extent, median(x) AS x_atc, count(*) FILTER (cls = 1) AS soil, count(*) FILTER (cls IN (2, 3)) AS veg, median(value) FILTER (cls = 1) AS h_te_median,
+             min(value) FILTER (cls IN (2, 3)) AS lo, max(value) FILTER (cls IN (2, 3)) AS hi, avg(value) FILTER (cls IN (2, 3)) AS mean, stddev_pop(value) FILTER (cls IN (2, 3)) AS std FROM w GROUP BY ALL),
+b AS (SELECT user_id, extent, {_BIN} AS bin, count(*) AS n, max(value) AS top, any_value(veg) AS veg FROM w JOIN m USING (user_id, extent) WHERE cls IN (2, 3) GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY user_id, extent ORDER BY bin) / veg * 100 AS share FROM b),
+p AS (SELECT user_id, extent, min(top) FILTER (share >= 98) AS h_canopy, min(top) FILTER (share >= 50) AS h_50 FROM c GROUP BY ALL)
+SELECT user_id, extent, round(x_atc, 7) AS x_atc, soil::INTEGER AS ground, veg::INTEGER AS vegetation, round(h_te_median, 6) AS h_te_median, hi AS h_max, lo AS h_min, round(mean, 9) AS h_mean, round(std, 5) AS openness, h_canopy, h_50
+FROM m LEFT JOIN p USING (user_id, extent)""")
 def canopy_metrics(spark, sf_dir):
-    return algorithms.canopy_metrics(tracks(spark, sf_dir), TRACK, "x", "value", "cls", "value", LENGTH, STEP, 10.0)
+    out = algorithms.canopy_metrics(tracks(spark, sf_dir), TRACK, "x", "value", "cls", "value", LENGTH, STEP, 10.0)
+    real = lambda c, name, digits=6: r(F.when(~F.isnan(c), F.col(c) if isinstance(c, str) else c), digits).alias(name)
+    fifty = F.col("canopy_h_metrics")[algorithms.PERCENTILES.index(50)]
+    return out.select("user_id", "extent", r("x_atc", 7).alias("x_atc"), F.col("ground_photon_count").alias("ground"), F.col("vegetation_photon_count").alias("vegetation"), real("h_te_median", "h_te_median"), real("h_max_canopy", "h_max"), real("h_min_canopy", "h_min"), real("h_mean_canopy", "h_mean", 9), real("canopy_openness", "openness", 5), real("h_canopy", "h_canopy"), real(fifty, "h_50"))
 
 
 @query(f"""

@@ -157,3 +157,24 @@ def numbered_sources(frames: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame
 
 def window_rank(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def packetize(df: DataFrame, payload: str, apid: int, sequence: str) -> DataFrame:
+    """df with `packet`: the payload behind a telemetry header with a sequence number modulo 2 ** 14."""
+    number = F.pmod(F.col(sequence), F.lit(1 << 14))
+    two = lambda c: F.unhex(F.lpad(F.hex(c.cast("long")), 4, "0"))
+    head = F.concat(two(F.lit(apid & 0x7FF)), two(number + 0xC000), two(F.length(payload) - 1))
+    return df.withColumn("packet", F.concat(head, F.col(payload)))
+
+
+def forward(packets_: DataFrame, apids: list[int], length: int | None = None, check: bool = False) -> DataFrame:
+    """Payloads of the listed ids; of one length if asked; whose last byte makes their exclusive or zero if asked."""
+    out = packets_.where(F.col("apid").isin(apids))
+    if length is not None:
+        out = out.where(F.length("payload") == length)
+    if check:
+        hexed = F.hex("payload")
+        byte = lambda i: F.conv(F.substring(hexed, i * 2 + 1, 2), 16, 10).cast("int")
+        total = F.aggregate(F.sequence(F.lit(0), F.length("payload") - 1), F.lit(0), lambda a, i: a.bitwiseXOR(byte(i)))
+        out = out.where(total == 0)
+    return out.select("apid", "sequence", "payload")

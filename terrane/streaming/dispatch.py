@@ -152,3 +152,25 @@ def json_lines(df: DataFrame) -> DataFrame:
 def describe(df: DataFrame) -> str:
     """Definition of a record type: names and types."""
     return json.dumps([{"name": n, "type": t} for n, t in df.dtypes])
+
+
+def observed(df: DataFrame, name: str, counters: dict[str, Column]) -> DataFrame:
+    """df that reports counters (such as read, filtered, dropped) with each batch to listeners, at no further pass."""
+    return df.observe(name, *[v.alias(k) for k, v in counters.items()])
+
+
+def batched(df: DataFrame, keys: list[str], name: str = "records") -> DataFrame:
+    """Records of a key as one container, the inverse of unpack."""
+    return df.groupBy(*keys).agg(F.collect_list(F.struct(*[c for c in df.columns if c not in keys])).alias(name))
+
+
+def deliver(stream: DataFrame, callbacks: dict[str, object], kind: str) -> object:
+    """Starts a query that hands the rows of each type in a batch to the callback of that type."""
+
+    def run(part: DataFrame, number: int) -> None:
+        kept = part.persist()
+        for k, fn in callbacks.items():
+            fn(kept.where(F.col(kind) == k), number)
+        kept.unpersist()
+
+    return stream.writeStream.option("checkpointLocation", f"{shared_folder(stream.sparkSession)}/log").trigger(availableNow=True).foreachBatch(run).start()

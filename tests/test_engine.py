@@ -338,3 +338,80 @@ def test_every_request_type_has_a_product(spark):
     for name in products.PRODUCTS:
         assert products.empty(spark, name).count() == 0
     assert api.version()["request_types"]
+
+
+# --- boxes, lookups, maths
+
+
+def test_boxes():
+    from terrane.operators import boxes
+
+    assert boxes.split((0, 0, 4, 2)) == ((0, 0, 2, 2), (2, 0, 4, 2)) and boxes.split((0, 0, 2, 4))[1] == (0, 2, 2, 4)
+    assert boxes.intersect((0, 0, 2, 2), (1, 1, 3, 3)) == (1, 1, 2, 2) and boxes.intersect((0, 0, 1, 1), (2, 2, 3, 3)) is None
+    assert boxes.combine((0, 0, 1, 1), (2, 2, 3, 3)) == (0, 0, 3, 3)
+
+
+def test_catalog_of_intervals_points_and_boxes(spark):
+    from terrane.operators import boxes
+
+    index = spark.createDataFrame([(i, float(i), float(i), [1, 2, 3][i % 3]) for i in range(1, 46)], "name int, t0 double, t1 double, foot int")
+    want = spark.createDataFrame([(5.0, 17.0)], "q0 double, q1 double")
+    assert sorted(r["name"] for r in joins.interval_overlap(index, want, ("t0", "t1"), ("q0", "q1"), 10.0).collect()) == list(range(5, 18))
+    assert joins.point_index(index, "foot", 2).count() == 15
+    cat = spark.createDataFrame([(1, -100.0, -80.0, -90.0, -70.0), (2, 46.0, -82.0, 50.0, -75.0), (3, 60.0, -70.0, 65.0, -60.0)], "id int, lon0 double, lat0 double, lon1 double, lat1 double")
+    assert [r["id"] for r in boxes.query(cat, ("lon0", "lat0", "lon1", "lat1"), (45.0, -83.2, 55.0, -73.2), geo.SOUTH).collect()] == [2]
+    assert boxes.hull(cat, "lon0", "lat0") == (-100.0, -82.0, 60.0, -70.0)
+    at = lambda v, how: [r["name"] for r in boxes.lookup(index, "t0", v, how).collect()]
+    assert (at(7.5, "at_or_after"), at(7.5, "before"), at(45.0, "after"), at(3.0, "exact")) == ([8], [7], [], [3])
+
+
+def test_maths():
+    from terrane.functions import maths
+
+    square = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0), (0.0, 0.0)]
+    assert maths.centroid(square) == (1.0, 1.0) and maths.winding(square) == 1 and maths.winding(square[::-1]) == -1
+    assert maths.sphere_area([(0, 0), (1, 0), (1, 1), (0, 1)]) == pytest.approx(1.2364e10, rel=1e-3)
+    a = np.array([0.0, 1, 0, 0, 0, 0])
+    assert np.argmax(maths.correlation(np.roll(a, 2), a)) == 2 and maths.bit_reverse(0b0011, 4) == 0b1100
+    assert geo.simplify([(0, 0), (1, 0.001), (2, 0), (2, 2), (0, 2)], 0.1) == [(0, 0), (2, 0), (2, 2), (0, 2), (0, 0)]
+
+
+def test_packets_are_wrapped_and_forwarded(spark):
+    body = bytearray(b"\x01\x02\x03")
+    df = readers.packetize(spark.createDataFrame([(16385, body), (2, bytearray(b"\x01\x02\x04"))], "n long, b binary"), "b", 9, "n")
+    files = df.select(F.lit("f").alias("path"), F.col("packet").alias("content"))
+    got = readers.packets(files)
+    assert sorted((r["apid"], r["sequence"], bytes(r["payload"])) for r in got.collect()) == [(9, 1, bytes(body)), (9, 2, b"\x01\x02\x04")]
+    assert readers.forward(got, [9], 3, check=True).count() == 1 and readers.forward(got, [8]).count() == 0
+
+
+def test_batches_and_callbacks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (2, "a", 3.0)], "k int, kind string, v double")
+    assert rows(dispatch.unpack(dispatch.batched(df, ["k"]), "records")) == rows(df)
+    df.write.parquet(str(tmp_path / "s"))
+    seen = {}
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "s"))
+    counted = dispatch.observed(stream, "counters", {"read": F.count("*")})
+    dispatch.deliver(counted, {"a": lambda part, n: seen.setdefault("a", part.count()), "b": lambda part, n: seen.setdefault("b", part.count())}, "kind").awaitTermination()
+    assert seen == {"a": 2, "b": 1}
+
+
+def test_raster_helpers(spark):
+    px = raster.from_grid(spark, [[1.0, 2.0], [3.0, 4.0]])
+    assert px.count() == 4
+    region, corner = raster.from_region(spark, [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)], 1.0)
+    assert corner == (0.0, 2.0) and rows(region) == [(0, 0, 1.0), (0, 1, 1.0), (1, 0, 1.0), (1, 1, 1.0)]
+    pts = spark.createDataFrame([(1, 0, 0), (2, 9, 9)], "id int, row int, col int")
+    assert rows(raster.flags_of(pts, px, []).select("id", "flags")) == [(1, 1), (2, 0)]
+
+
+def test_client(spark, tmp_path):
+    photons(spark, tmp_path)
+    client = api.Client(spark, str(tmp_path))
+    assert client.atl03sp({"cnf": 4}).df.count() > 0
+    with pytest.raises(AttributeError):
+        client.nothing
+    spark.createDataFrame([(19.0, 11.0, 1.0, 1.0)], "x0 double, y0 double, dx double, dy double").write.parquet(str(tmp_path / "rasters/dem/geometry"))
+    raster.from_grid(spark, [[1.0, 2.0], [3.0, 4.0]]).write.parquet(str(tmp_path / "rasters/dem/pixels"))
+    pts = spark.createDataFrame([(1, 20.5, 9.5), (2, 50.0, 50.0)], "id int, longitude double, latitude double")
+    assert rows(client.sample(pts, "dem").select("id", "`value.value`")) == [(1, 4.0), (2, None)]
