@@ -136,3 +136,33 @@ kept AS (SELECT * FROM best WHERE best_window >= least(n, {decontaminate.WINDOW}
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY equal_words DESC, best_window DESC, first_word) AS r FROM kept)
 SELECT doc_id, item_id, first_word::BIGINT AS first_word, n::BIGINT AS item_words, equal_words::BIGINT AS equal_words, best_window::BIGINT AS best_window
 FROM ranked WHERE r = 1"""
+
+#: All pairs of texts that share a shingle, and their components.
+ORACLES["op5_ngram_join"] = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents),
+k AS (SELECT doc_id, w, array_to_string(w, ' ') AS node FROM d),
+nodes AS (SELECT node, any_value(w) AS w, min(doc_id) AS least, count(*) AS copies FROM k GROUP BY node),
+shingles AS (
+  SELECT DISTINCT node, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT node, w, unnest(range(1, len(w) - 3)) AS i FROM nodes WHERE len(w) >= 5)
+  UNION ALL SELECT node, ' ' || node FROM nodes WHERE len(w) BETWEEN 1 AND 4),
+sizes AS (SELECT node, count(*) AS n FROM shingles GROUP BY node),
+pairs AS (SELECT a.node AS a, b.node AS b, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.node <> b.node GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.node = a JOIN sizes y ON y.node = b WHERE common >= {ngram_join.THRESHOLD} * (x.n + y.n - common) - 1e-9 * (x.n + y.n)),
+reach AS (SELECT node AS a, node AS b FROM nodes UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+classes AS (SELECT a AS node, min(least) AS class_id FROM reach JOIN nodes ON node = b GROUP BY a),
+counts AS (SELECT a AS node, sum(copies)::BIGINT AS n FROM links JOIN nodes ON node = b GROUP BY a)
+SELECT doc_id, class_id, (copies - 1 + coalesce(n, 0))::BIGINT AS n_links
+FROM k JOIN nodes USING (node) JOIN classes USING (node) LEFT JOIN counts USING (node)"""
+
+#: Words left out one at a time, whole sequences instead of hashes.
+ORACLES["op9_line_dedup"] = rf"""
+WITH l AS (SELECT doc_id, text, unnest(ls) AS line, unnest(range(len(ls))) AS k FROM (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+w AS (SELECT doc_id, k, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM l),
+c AS (SELECT w, min((doc_id, k)) AS first FROM w WHERE len(w) >= {line_dedup.MIN_WORDS} GROUP BY w),
+v AS (SELECT w, first, i, w[:i] || w[i + 2:] AS v FROM (SELECT *, unnest(range(len(w))) AS i FROM c WHERE len(w) >= {line_dedup.NEAR_WORDS})),
+s AS (SELECT w FROM (SELECT w, first, min(first) OVER (PARTITION BY v, i) AS early FROM v) WHERE early < first),
+x AS (SELECT a.w AS a, b.w AS b, a.first < b.first AS a_first FROM c a JOIN v b ON b.v = a.w WHERE len(a.w) >= {line_dedup.NEAR_WORDS}),
+near AS (SELECT w FROM s UNION SELECT CASE WHEN a_first THEN b ELSE a END FROM x),
+m AS (SELECT w.doc_id, w.k, w.line, coalesce((w.doc_id, w.k) <> c.first OR near.w IS NOT NULL, false) AS gone FROM w LEFT JOIN c ON c.w = w.w LEFT JOIN near ON near.w = w.w)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS text_sha256
+FROM m GROUP BY doc_id"""
