@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions import text
+from terrane.sources.scratch import checkpoint
 
 FLOAT_FILL = 3.4028234663852886e38
 INT_FILL = 2147483647
@@ -45,10 +46,11 @@ def with_index(df: DataFrame, name: str, order: list[str], track: list[str] | No
     """0..n-1 in order, of each track, or of the whole table.
 
     The whole table is not sorted in one task: its rows are dealt to ranges, counted there, and numbered inside.
+    The ranges are kept in a checkpoint, as dealing rows again could cut them elsewhere.
     """
     if track:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*track).orderBy(*order)).cast("long") - 1)
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ranged = checkpoint(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
