@@ -195,8 +195,8 @@ def removals(docs: DataFrame) -> DataFrame:
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
-    """docs with repeated lines left out of `text`, and n_lines, n_removed (names that docs has already are replaced)."""
+def line_dedup(docs: DataFrame, counts: bool = True) -> DataFrame:
+    """docs with repeated lines left out of `text`; with counts also n_lines, n_removed (names that docs has already are replaced)."""
     ship(docs.sparkSession)
     removed = checkpoint(removals(docs).select(F.col("doc_id").alias("_of"), F.col("removed").alias("_removed")))
     bits = _bloom.build(removed.select(_id_hash("_of").alias("key")), "key")
@@ -205,18 +205,18 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     def loses(key: pd.Series) -> pd.Series:
         return pd.Series(_bloom.maybe(bits, key.to_numpy(np.int64)))
 
-    rest = docs.drop(*({"n_lines", "n_removed"} & set(docs.columns)))
-    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
+    rest = docs.drop(*({"n_lines", "n_removed"} & set(docs.columns))) if counts else docs
+    more = {"n_lines": lambda: F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long"), "n_removed": lambda: F.coalesce(F.size("_removed"), F.lit(0)).cast("long")} if counts else {}
     # only documents that may lose a line take part in the join
     hit = loses(_id_hash("doc_id"))
-    whole = rest.where(~hit).select(*rest.columns, lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
+    whole = rest.where(~hit).withColumn("_removed", F.lit(None).cast("array<long>")).withColumns({k: v() for k, v in more.items()}).drop("_removed")
     joined = rest.where(hit).join(removed, F.col("doc_id").cast("long").eqNullSafe(F.col("_of")), "left")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("_removed", i.cast("long"))), "\n")
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept)
-    out = joined.withColumn("n_lines", lines).withColumn("n_removed", F.coalesce(F.size("_removed"), F.lit(0)).cast("long")).withColumn("text", text)
+    out = joined.withColumns({k: v() for k, v in more.items()}).withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return whole.unionByName(out.select(*rest.columns, "n_lines", "n_removed"))
+    return whole.unionByName(out.select(*rest.columns, *more))
 
 
 def _id_hash(column: str) -> Column:
