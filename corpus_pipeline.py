@@ -17,7 +17,7 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go, all documents stay."""
-    return line_dedup.line_dedup(docs).select(*docs.columns)
+    return line_dedup.line_dedup(docs, counts=False)
 
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
