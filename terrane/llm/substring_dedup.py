@@ -4,7 +4,8 @@ The gear hash of a byte covers the GEAR bytes up to it. A chunk ends where this
 RADIUS bytes on either side, so boundaries depend on nearby bytes only and an insertion moves no boundary beyond
 them; chunks are longer than RADIUS, about twice that on average, and those over LONGEST bytes are cut every
 LONGEST bytes from their start. Chunks are deduplicated by digest: a chunk is repeated if documents with
-different ids have its digest. Neighbouring repeated chunks of a document join to spans, and spans of at least
+different ids have its digest; a Bloom filter of fixed size keeps most other chunks out of the join that looks
+them up. Neighbouring repeated chunks of a document join to spans, and spans of at least
 MIN_WORDS words are reported. The partial chunks at the edges of a repeated passage differ, so about ten words
 of it at either end can be missing from its span.
 
@@ -22,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.llm import _text
-from terrane.llm._spark import checkpoint, ship
+from terrane.llm import _bloom, _text
+from terrane.llm._spark import attach, checkpoint, ship
 
 GEAR = 8
 RADIUS = 12
@@ -81,15 +82,18 @@ def cuts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, end
 
 
-def _chunk_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _chunk_rows(batch: pa.RecordBatch, bits: np.ndarray | None = None) -> pa.RecordBatch:
+    """All chunks, or those whose digest may be among the wanted ones."""
     data, at = _text.raw(batch.column("text"))
     start, end = cuts(data, at)
     row = np.searchsorted(at, start, side="right") - 1
     first, _ = _text.spans(data, at, _text.SPACE)
     words = np.searchsorted(first, end) - np.searchsorted(first, start)
     number = np.arange(len(start)) - np.searchsorted(start, at[:-1])[row]
+    digest = _text.signed(_text.hash_spans(data, start, end))
+    k = np.arange(len(start)) if bits is None else np.flatnonzero(_bloom.maybe(bits, digest))
     return pa.RecordBatch.from_arrays(
-        [batch.column("doc_id").take(pa.array(row)), pa.array(_text.signed(_text.hash_spans(data, start, end))), pa.array(number.astype(np.int32)), pa.array((start - at[row]).astype(np.int64)), pa.array((end - start).astype(np.int32)), pa.array(words.astype(np.int32))],
+        [batch.column("doc_id").take(pa.array(row[k])), pa.array(digest[k]), pa.array(number[k].astype(np.int32)), pa.array((start - at[row])[k].astype(np.int64)), pa.array((end - start)[k].astype(np.int32)), pa.array(words[k].astype(np.int32))],
         names=["doc_id", "digest", "number", "start", "size", "words"],
     )
 
@@ -97,9 +101,13 @@ def _chunk_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, start_byte, end_byte, n_chunks, n_words, first_doc_id of each repeated passage; first_doc_id is the smallest id that has one of its chunks."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text")
-    chunks = _text.map_text(texts, _chunk_rows, "doc_id long, digest long, number int, start long, size int, words int")
-    shared = chunks.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc <> last_doc").select("digest", "first_doc")
-    found = checkpoint(chunks.join(shared, "digest").select("doc_id", "number", "start", "size", "words", "first_doc"))
+    schema = "doc_id long, digest long, number int, start long, size int, words int"
+    counted = _text.map_text(texts, _chunk_rows, schema).groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("w"))
+    shared = checkpoint(counted.where("first_doc <> last_doc").select("digest", "first_doc", "w"))
+    total = shared.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+    bits = _bloom.build(shared, "digest")
+    chunks = _text.map_text(texts, lambda batch: _chunk_rows(batch, bits), schema)
+    found = checkpoint(attach(chunks, shared, ["digest"], "w", total, "inner").select("doc_id", "number", "start", "size", "words", "first_doc"))
     order = Window.partitionBy("doc_id").orderBy("number", "start")
     runs = found.dropDuplicates(["doc_id", "number", "start"]).withColumn("run", F.col("number") - F.row_number().over(order))
     spans = runs.groupBy("doc_id", "run").agg(
