@@ -8,7 +8,7 @@ whose size is bounded by the model's; noise-contrastive estimation then takes it
 in closed form, so training is the same at each run. For scoring, a batch of matrix products gives all scores of
 all contexts, and a softmax makes them log-probabilities that add up to one.
 
-Words are counted over the whole corpus in a distributed table. The TOP most frequent ones are sent to all tasks;
+Words are counted over the whole corpus in a distributed table. At most TOP of the most frequent ones are sent to all tasks;
 occurrences of others, each of which is rare, are joined with the table by shuffle.
 
 Defined results: a null text is empty and is scored as the end token alone; a null doc_id counts as the empty
@@ -20,6 +20,7 @@ other columns are ignored. Words are told apart by 64-bit hashes.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -142,7 +143,7 @@ def lm_score(docs: DataFrame, heads: int = HEADS, coarse: int = COARSE, top: int
     training = texts.where(~F.col("held_out")).select("text")
     counts = checkpoint(_text.map_text(training, _count_rows, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")))
     n, vocabulary = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
-    frequent = counts.orderBy(F.desc("c"), "token").limit(top).toPandas()
+    frequent = _frequent(counts, heads, top)
     top_hash, top_count = frequent["token"].to_numpy(np.int64).view(np.uint64), frequent["c"].to_numpy(np.int64)
     words = top_hash != _END
     head_hash = np.concatenate([top_hash[words][: heads - 1], [_END]]).astype(np.uint64)
@@ -218,6 +219,23 @@ def lm_score(docs: DataFrame, heads: int = HEADS, coarse: int = COARSE, top: int
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def _frequent(counts: DataFrame, heads: int, top: int) -> pd.DataFrame:
+    """The `heads` most frequent words and all those above a count that at most `top` words reach, most frequent first.
+
+    The bound comes from a histogram of the counts' logarithms, so no task sends more than the words that are kept.
+    """
+    octave = F.floor(F.log2("c") * 8).cast("int")
+    sizes = counts.groupBy(octave.alias("octave")).agg(F.count("*").alias("n")).collect()  # under 512 rows
+    bound, held = 1 << 30, 0
+    for r in sorted(sizes, key=lambda r: -r["octave"]):
+        if (held := held + r["n"]) > top:
+            break
+        bound = r["octave"]
+    first = counts.orderBy(F.desc("c"), "token").limit(heads).toPandas()
+    many = counts.where(octave >= bound).toPandas()
+    return pd.concat([first, many]).drop_duplicates("token").sort_values(["c", "token"], ascending=[False, True], ignore_index=True)
+
+
 _cache: dict[str, tuple] = {}
 _counter: dict[int, int] = {}
 
