@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import sys
-import tempfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrane.sources.scratch import checkpoint as checkpoint
+
 ROOT = str(Path(__file__).resolve().parents[2])
 #: A key with more than 1 / HEAVY of all rows is hot; there are fewer than HEAVY of them, so they can be broadcast.
 HEAVY = 1000
@@ -25,13 +27,10 @@ def ship(spark: SparkSession) -> None:
         sys.path.append(ROOT)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with files in the folder that all executors share."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="terrane-checkpoint-"))
-    return df.checkpoint(eager=True)
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files and checkpoints that nothing refers to any more; it finds them when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def attach(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, how: str = "left") -> DataFrame:
@@ -61,13 +60,16 @@ def connected(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = checkpoint(both)
     labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", least("node", "m").alias("root")))
-    for _ in range(CC_ROUNDS):
+    for k in range(CC_ROUNDS):
         heard = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = labels.join(heard, "node").select("node", "root", least("root", "near").alias("new"))
         jump = step.select(F.col("node").alias("new"), F.col("new").alias("up"))
         after = checkpoint(step.join(jump, "new", "left").select("node", F.col("root").alias("old"), F.coalesce(least("new", "up"), "new").alias("root")))
         changed = after.where("root <> old").limit(1).count()
         labels = after.select("node", "root")
+        if not changed or k % 3 == 2:
+            del heard, step, jump, after
+            release(edges.sparkSession)
         if not changed:
             return labels
     raise RuntimeError(f"components did not settle in {CC_ROUNDS} rounds")
