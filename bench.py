@@ -12,7 +12,7 @@ os.environ["PYTHONPATH"] = ROOT + (":" + os.environ["PYTHONPATH"] if os.environ.
 
 HEADLINE = (
     "flt_polygon_raycast", "flt_contiguous_extent", "prj_computed_columns", "join_merge_left", "join_asof_clamped", "join_interpolate",
-    "agg_ancillary_dsl", "agg_median_mode", "dedup_remove", "win_extent_explode", "fit_single_pass", "fit_iterative", "blanket_surface",
+    "agg_ancillary_dsl", "agg_median_mode", "dedup_remove", "win_extent_explode", "fit_single_pass", "blanket_surface",
     "canopy_metrics", "yapc_v3", "bathy_refraction", "raster_nearest", "raster_zonal", "raster_slope", "union_srcid", "stream_tumbling",
 )
 
