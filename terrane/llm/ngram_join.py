@@ -184,6 +184,11 @@ def _verified(threshold: float):
 
 def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, target: float = RECALL, trees: int = TREES, depth: int = DEPTH, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """doc_id, raw (xxhash64 of the text), class_id, n_links for every row of docs (doc_id, text)."""
+    return classes(docs, threshold, target, trees, depth, block, seed).select("doc_id", "raw", "class_id", "n_links")
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, target: float = RECALL, trees: int = TREES, depth: int = DEPTH, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """Like ngram_join, with `class`: the smallest node of the row's class, which tells classes apart when they have the same class_id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _raw().alias("raw"))
     stop = stop_depth(threshold, target, trees, depth)
     rows = checkpoint(_text.map_text(texts, _signed_rows(seed, stop, trees, depth), "doc_id long, node long, check long, keys array<long>, raw long"))
@@ -207,14 +212,14 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, target: float = RE
     pairs = _text.map_text(pairs, _only_own(seed), "cluster long, i int, j int, node long, copies long, block int, text string")
     dealt = pairs.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "block", "node")
     found = checkpoint(dealt.mapInArrow(_verified(threshold), "node long, near long, links long"))
-    classes = connected(found.select(F.col("node").alias("a"), F.col("near").alias("b")).where("a <> b").distinct())
+    joined = connected(found.select(F.col("node").alias("a"), F.col("near").alias("b")).where("a <> b").distinct())
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    known = nodes.join(classes.withColumnRenamed("root", "class"), "node", "left").join(links, "node", "left")
+    known = nodes.join(joined.withColumnRenamed("root", "class"), "node", "left").join(links, "node", "left")
     known = known.select("node", "least", "copies", "ok", F.coalesce("class", "node").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     known = checkpoint(known)
     names = known.groupBy("class").agg(F.min("least").alias("class_id"), F.count("*").alias("w"))
-    known = attach(known, names, ["class"], "w", known.count(), "inner").select("node", "copies", "class_id", "n_links")
-    return attach(rows.select("doc_id", "raw", "node"), known, ["node"], "copies", rows.count(), "inner").select("doc_id", "raw", "class_id", "n_links")
+    known = attach(known, names, ["class"], "w", known.count(), "inner").select("node", "copies", "class", "class_id", "n_links")
+    return attach(rows.select("doc_id", "raw", "node"), known, ["node"], "copies", rows.count(), "inner").select("doc_id", "raw", "class", "class_id", "n_links")
 
 
 def _only_own(seed: int):
@@ -230,7 +235,8 @@ def _only_own(seed: int):
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each class, which has the class's doc_id."""
-    found = ngram_join(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    kept = found.groupBy(F.col("doc_id").alias("_of"), "class_id").agg(F.min("raw").alias("_raw")).select("_of", "_raw")
+    found = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    # a text is of one class only, so no two classes keep the same (doc_id, raw)
+    kept = found.groupBy("class").agg(F.min("doc_id").alias("_of"), F.min("raw").alias("_raw")).select("_of", "_raw")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_of")) & (F.col("_text") == F.col("_raw"))
     return docs.withColumn("_text", _raw()).join(kept, same).dropDuplicates(["_of", "_raw"]).select(*docs.columns)

@@ -94,6 +94,17 @@ def test_one_row_of_each_class_stays(messy, docs_of, words, rng):
         assert sorted(ids, key=str) == sorted(classes, key=str)
 
 
+def test_classes_without_ids_or_with_the_same_id_keep_a_row_each(docs_of, words):
+    lone, shared = [words(30) for _ in range(4)], [words(30) for _ in range(3)]
+    near = [*lone[0][:-1], "changed"]
+    texts = [" ".join(w) for w in (*lone, near, *shared, shared[0])]
+    docs = docs_of(texts, ids=[None] * 5 + [7] * 3 + [3])
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.keep_one(docs).collect()]
+    assert len(kept) == len(set(kept)) == 7
+    assert sum(t in (texts[0], texts[4]) for _, t in kept) == 1
+    assert {(None, t) for t in texts[1:4]} | {(7, t) for t in texts[6:8]} | {(3, texts[5])} <= set(kept)
+
+
 def test_recall_rises_as_prefixes_shorten():
     assert ngram_join.stop_depth(0.8, 0.9999) == 5
     assert ngram_join.stop_depth(0.8, 0.5) == 6
