@@ -47,6 +47,11 @@ def attach(left: DataFrame, right: DataFrame, keys: list[str], weight: str, tota
     return part.unionByName(rest)
 
 
+def row_key() -> Column:
+    """Tells rows (doc_id, text) apart; rows alike in both have the same key."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+
+
 def least(*columns: str) -> Column:
     return F.least(*[F.col(c) for c in columns])
 

@@ -3,7 +3,7 @@
 Lines are the parts of a text between newlines; they are compared as sequences of lower-cased words, and the
 edit distance counts words. Equal lines of MIN_WORDS words or more are copies. Lines of NEAR_WORDS words or more
 are copies too if one inserted, deleted or substituted word turns one into the other. Of copies the earliest
-line, by doc_id and then line number, stays: a line goes if any earlier line equals it or is one edit away.
+line, by doc_id, then line number and then row key, stays: a line goes if any earlier line equals it or is one edit away.
 
 Two lines one edit apart share a variant with one word deleted. Each line emits its variants as hashed keys
 twice: with the place of the deletion, where all lines of a key are one substitution apart, and without, where
@@ -12,9 +12,9 @@ number of lines makes no pairs. The partner found is then compared word by word.
 if some other line shares their first or last half, so those keys are counted first and lines alone in both
 emit no variants; a Bloom filter of fixed size tells which, and lets some others pass, so nothing is lost.
 
-Defined results: a null text is empty and stays null; lines without words always stay. Rows that repeat a
-doc_id are taken as one document: a line of one is never a copy of the same line number of another, and both
-lose the same lines. A null doc_id comes before all others. An empty table gives an empty result, and other
+Defined results: a null text is empty and stays null; lines without words always stay. Rows of the
+same doc_id, or of none, are documents of their own if their texts differ, told apart by a hash of both (the row
+key); rows alike in doc_id and text are one document and keep the same lines. A null doc_id comes before all others. An empty table gives an empty result, and other
 columns are kept as they are, but for `n_chars`, which is set anew where there is one.
 """
 
@@ -31,7 +31,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType
 
 from terrane.llm import _bloom, _text
-from terrane.llm._spark import attach, checkpoint, ship
+from terrane.llm._spark import attach, checkpoint, row_key, ship
 
 MIN_WORDS = 2
 NEAR_WORDS = 8
@@ -74,15 +74,15 @@ def _line_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
     s = _text.Sequences(w.hash, _SEED)
     near = n >= NEAR_WORDS
     keys = [pa.array(_text.signed(key), mask=~(near & use)) for key, use in _halves(s, lo, hi)]
-    return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(number), pa.array(_text.signed(s.hash(lo, hi))), pa.array(n), *keys], names=["doc_id", "line_no", "line", "n", "k0", "k1", "k2", "k3"])
+    return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), batch.column("row").take(pa.array(row)), pa.array(number), pa.array(_text.signed(s.hash(lo, hi))), pa.array(n), *keys], names=["doc_id", "row", "line_no", "line", "n", "k0", "k1", "k2", "k3"])
 
 
-_LINE_ROWS = "doc_id long, line_no long, line long, n long, k0 long, k1 long, k2 long, k3 long"
+_LINE_ROWS = "doc_id long, row long, line_no long, line long, n long, k0 long, k1 long, k2 long, k3 long"
 
 
 def _places(batch: pa.RecordBatch) -> pa.RecordBatch:
     out = _line_rows(batch)
-    return out.select(["doc_id", "line_no", "line"])
+    return out.select(["doc_id", "row", "line_no", "line"])
 
 
 def _candidates(bits: np.ndarray):
@@ -100,7 +100,7 @@ def _candidates(bits: np.ndarray):
         pick = np.flatnonzero(hit)
         line = _text.signed(s.hash(lo[pick], hi[pick]))
         words = [w.hash[lo[i] : hi[i]].tobytes() for i in pick]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row[pick])), pa.array(number[pick]), pa.array(line), pa.array(words, pa.binary())], names=["doc_id", "line_no", "line", "words"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row[pick])), batch.column("row").take(pa.array(row[pick])), pa.array(number[pick]), pa.array(line), pa.array(words, pa.binary())], names=["doc_id", "row", "line_no", "line", "words"])
 
     return rows
 
@@ -159,7 +159,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _place() -> Column:
-    return F.struct("doc_id", "line_no")
+    return F.struct("doc_id", "line_no", "row")
 
 
 def _near(texts: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def _near(texts: DataFrame) -> DataFrame:
     halves = _text.map_text(texts, _line_rows, _LINE_ROWS).select("line", F.explode(F.array("k0", "k1", "k2", "k3")).alias("key")).where("key is not null")
     shared = halves.groupBy("key").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi")
     bits = _bloom.build(shared, "key")
-    found = _text.map_text(texts, _candidates(bits), "doc_id long, line_no long, line long, words binary")
+    found = _text.map_text(texts, _candidates(bits), "doc_id long, row long, line_no long, line long, words binary")
     found = found.groupBy("line").agg(F.min(_place()).alias("place"), F.first("words").alias("words"))
     # ids in order of place: numbers of the ranges, then places in them
     lines = checkpoint(found.repartitionByRange("place").sortWithinPartitions("place").withColumn("ord", F.monotonically_increasing_id()).drop("place"))
@@ -184,22 +184,22 @@ def _near(texts: DataFrame) -> DataFrame:
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """doc_id, removed: the sorted line numbers that go, for each document that loses a line."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """row (the row key), removed: the sorted line numbers that go, for each document that loses a line."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row"))
     near = checkpoint(_near(texts))
-    lines = checkpoint(_text.map_text(texts, _places, "doc_id long, line_no long, line long"))
+    lines = checkpoint(_text.map_text(texts, _places, "doc_id long, row long, line_no long, line long"))
     classes = lines.groupBy("line").agg(F.min(_place()).alias("first"), F.count("*").alias("copies"))
     marked = classes.join(near.withColumn("near", F.lit(True)), "line", "left").where("near or copies > 1").select("line", "first", "copies", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = attach(lines, checkpoint(marked), ["line"], "copies", lines.count(), "inner")
-    gone = gone.where(F.col("near") | ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no"))))
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+    gone = attach(lines.drop("doc_id"), checkpoint(marked), ["line"], "copies", lines.count(), "inner")
+    gone = gone.where(F.col("near") | (F.col("row") != F.col("first.row")) | (F.col("line_no") != F.col("first.line_no")))
+    return gone.groupBy("row").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
 def line_dedup(docs: DataFrame, counts: bool = True) -> DataFrame:
     """docs with repeated lines left out of `text`; with counts also n_lines, n_removed (names that docs has already are replaced)."""
     ship(docs.sparkSession)
-    removed = checkpoint(removals(docs).select(F.col("doc_id").alias("_of"), F.col("removed").alias("_removed")))
-    bits = _bloom.build(removed.select(_id_hash("_of").alias("key")), "key")
+    removed = checkpoint(removals(docs).select(F.col("row").alias("_of"), F.col("removed").alias("_removed")))
+    bits = _bloom.build(removed.select(F.col("_of").alias("key")), "key")
 
     @pandas_udf(BooleanType())
     def loses(key: pd.Series) -> pd.Series:
@@ -208,16 +208,12 @@ def line_dedup(docs: DataFrame, counts: bool = True) -> DataFrame:
     rest = docs.drop(*({"n_lines", "n_removed"} & set(docs.columns))) if counts else docs
     more = {"n_lines": lambda: F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long"), "n_removed": lambda: F.coalesce(F.size("_removed"), F.lit(0)).cast("long")} if counts else {}
     # only documents that may lose a line take part in the join
-    hit = loses(_id_hash("doc_id"))
+    hit = loses(row_key())
     whole = rest.where(~hit).withColumn("_removed", F.lit(None).cast("array<long>")).withColumns({k: v() for k, v in more.items()}).drop("_removed")
-    joined = rest.where(hit).join(removed, F.col("doc_id").cast("long").eqNullSafe(F.col("_of")), "left")
+    joined = rest.where(hit).join(removed, row_key() == F.col("_of"), "left")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("_removed", i.cast("long"))), "\n")
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept)
     out = joined.withColumns({k: v() for k, v in more.items()}).withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return whole.unionByName(out.select(*rest.columns, *more))
-
-
-def _id_hash(column: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(column).cast("long"), F.lit(-1)))

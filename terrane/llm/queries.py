@@ -25,7 +25,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
+    return substring_dedup.repeated_spans(_table(spark, sf_dir, "documents")).drop("row", "first_row")
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

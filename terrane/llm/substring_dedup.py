@@ -3,14 +3,15 @@
 The gear hash of a byte covers the GEAR bytes up to it. A chunk ends where this hash is the largest among
 RADIUS bytes on either side, so boundaries depend on nearby bytes only and an insertion moves no boundary beyond
 them; chunks are longer than RADIUS, about twice that on average, and those over LONGEST bytes are cut every
-LONGEST bytes from their start. Chunks are deduplicated by digest: a chunk is repeated if documents with
-different ids have its digest; a Bloom filter of fixed size keeps most other chunks out of the join that looks
+LONGEST bytes from their start. Chunks are deduplicated by digest: a chunk is repeated if different documents
+have its digest; a Bloom filter of fixed size keeps most other chunks out of the join that looks
 them up. Neighbouring repeated chunks of a document join to spans, and spans of at least
 MIN_WORDS words are reported. The partial chunks at the edges of a repeated passage differ, so about ten words
 of it at either end can be missing from its span.
 
-Defined results: a null text is empty and has no chunk. Rows that repeat a doc_id are one document, whose texts
-don't repeat each other; a null doc_id is an id of its own. Documents without a repeated passage give no row.
+Defined results: a null text is empty and has no chunk. Rows of the same doc_id, or of none, are documents
+of their own if their texts differ, told apart by a hash of both (the row key); rows alike in doc_id and text are
+one document. A null doc_id comes before all others, and of rows with the same id the smallest key. Documents without a repeated passage give no row.
 An empty table gives an empty result, other columns are ignored.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.llm import _bloom, _text
-from terrane.llm._spark import attach, checkpoint, ship
+from terrane.llm._spark import attach, checkpoint, row_key, ship
 
 GEAR = 8
 RADIUS = 12
@@ -93,35 +94,38 @@ def _chunk_rows(batch: pa.RecordBatch, bits: np.ndarray | None = None) -> pa.Rec
     digest = _text.signed(_text.hash_spans(data, start, end))
     k = np.arange(len(start)) if bits is None else np.flatnonzero(_bloom.maybe(bits, digest))
     return pa.RecordBatch.from_arrays(
-        [batch.column("doc_id").take(pa.array(row[k])), pa.array(digest[k]), pa.array(number[k].astype(np.int32)), pa.array((start - at[row])[k].astype(np.int64)), pa.array((end - start)[k].astype(np.int32)), pa.array(words[k].astype(np.int32))],
-        names=["doc_id", "digest", "number", "start", "size", "words"],
+        [batch.column("doc_id").take(pa.array(row[k])), batch.column("row").take(pa.array(row[k])), pa.array(digest[k]), pa.array(number[k].astype(np.int32)), pa.array((start - at[row])[k].astype(np.int64)), pa.array((end - start)[k].astype(np.int32)), pa.array(words[k].astype(np.int32))],
+        names=["doc_id", "row", "digest", "number", "start", "size", "words"],
     )
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, start_byte, end_byte, n_chunks, n_words, first_doc_id of each repeated passage; first_doc_id is the smallest id that has one of its chunks."""
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text")
-    schema = "doc_id long, digest long, number int, start long, size int, words int"
-    counted = _text.map_text(texts, _chunk_rows, schema).groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("w"))
-    shared = checkpoint(counted.where("first_doc <> last_doc").select("digest", "first_doc", "w"))
+    """doc_id, start_byte, end_byte, n_chunks, n_words, first_doc_id, row, first_row of each repeated passage; first_doc_id is the smallest id that has one of its chunks, row and first_row are the row keys of both."""
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text", row_key().alias("row"))
+    schema = "doc_id long, row long, digest long, number int, start long, size int, words int"
+    counted = _text.map_text(texts, _chunk_rows, schema).groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.min("row").alias("lo"), F.max("row").alias("hi"), F.count("*").alias("w"))
+    shared = checkpoint(counted.where("lo <> hi").select("digest", "first_doc", "w"))
     total = shared.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
     bits = _bloom.build(shared, "digest")
     chunks = _text.map_text(texts, lambda batch: _chunk_rows(batch, bits), schema)
-    found = checkpoint(attach(chunks, shared, ["digest"], "w", total, "inner").select("doc_id", "number", "start", "size", "words", "first_doc"))
-    order = Window.partitionBy("doc_id").orderBy("number", "start")
-    runs = found.dropDuplicates(["doc_id", "number", "start"]).withColumn("run", F.col("number") - F.row_number().over(order))
-    spans = runs.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start_byte"), F.max(F.col("start") + F.col("size")).alias("end_byte"), F.count("*").alias("n_chunks"), F.sum("words").cast("long").alias("n_words"), F.min("first_doc").alias("first_doc_id")
-    )
+    found = checkpoint(attach(chunks, shared, ["digest"], "w", total, "inner").select("doc_id", "row", "digest", "number", "start", "size", "words", "first_doc", "w"))
+    # of rows with the first id, the one with the smallest key is first
+    firsts = found.where("doc_id = first_doc").groupBy("digest").agg(F.min("row").alias("first_row"), F.first("w").alias("w"))
+    found = attach(found.drop("w"), checkpoint(firsts), ["digest"], "w", total, "inner").select("doc_id", "row", "number", "start", "size", "words", "first_doc", "first_row")
+    order = Window.partitionBy("row").orderBy("number", "start")
+    runs = found.dropDuplicates(["row", "number", "start"]).withColumn("run", F.col("number") - F.row_number().over(order))
+    spans = runs.groupBy("doc_id", "row", "run").agg(
+        F.min("start").alias("start_byte"), F.max(F.col("start") + F.col("size")).alias("end_byte"), F.count("*").alias("n_chunks"), F.sum("words").cast("long").alias("n_words"), F.min(F.struct("first_doc", "first_row")).alias("first")
+    ).withColumns({"first_doc_id": F.col("first.first_doc"), "first_row": F.col("first.first_row")})
     real = lambda c: F.when(F.col(c) != _NO_ID, F.col(c)).alias(c)
-    return spans.where(F.col("n_words") >= min_words).select(real("doc_id"), "start_byte", "end_byte", "n_chunks", "n_words", real("first_doc_id"))
+    return spans.where(F.col("n_words") >= min_words).select(real("doc_id"), "start_byte", "end_byte", "n_chunks", "n_words", real("first_doc_id"), "row", "first_row")
 
 
 def cut_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs without the passages in spans whose first document is another one. Columns stay; a text cut inside a character loses that character."""
+    """docs without the passages in spans (of repeated_spans) whose first document is another one. Columns stay; a text cut inside a character loses that character."""
     ship(docs.sparkSession)
-    gone = spans.where(~F.col("doc_id").eqNullSafe(F.col("first_doc_id"))).groupBy(F.col("doc_id").alias("_of")).agg(F.array_sort(F.collect_list(F.struct("start_byte", "end_byte"))).alias("_spans"))
-    joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_of")), "left").drop("_of")
+    gone = spans.where("row <> first_row").groupBy(F.col("row").alias("_of")).agg(F.array_sort(F.collect_list(F.struct("start_byte", "end_byte"))).alias("_spans"))
+    joined = docs.join(gone, row_key() == F.col("_of"), "left").drop("_of")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -169,6 +169,24 @@ def test_line_dedup_of_messy_rows_and_of_nothing(messy, nothing):
     assert line_dedup.line_dedup(nothing).collect() == []
 
 
+def test_lines_of_rows_without_ids_or_with_the_same_id_are_told_apart(docs_of, words):
+    line = lambda n: " ".join(words(n))
+    stock, near, other = line(6), words(12), line(5)
+    own = [line(9) for _ in range(8)]
+    texts = [
+        "\n".join([own[0], own[1], stock]),
+        "\n".join([own[2], own[3], stock]),
+        "\n".join([own[4], " ".join(near), own[5], other]),
+        "\n".join([own[6], " ".join([*near[:-1], "changed"]), own[7], other]),
+        other,
+    ]
+    rows = line_dedup.line_dedup(docs_of(texts, ids=[None, None, 4, 4, None])).collect()
+    left = [x for r in rows for x in r["text"].split("\n") if x]
+    assert all(left.count(x) == 1 for x in [*own, stock, other])
+    assert len(left) == len(own) + 3
+    assert sum(r["n_removed"] for r in rows) == 4
+
+
 def brute_leaks(docs, items):
     out = set()
     for i, t in docs:
@@ -244,6 +262,20 @@ def test_repeated_passages_are_found_and_clean_texts_left_alone(docs_of, words,
     assert substring_dedup.repeated_spans(nothing).collect() == []
 
 
+def test_passages_of_rows_without_ids_or_with_the_same_id_are_found(docs_of, words):
+    a, b = words(90), words(90)
+    texts = [" ".join([*words(n), *p, *words(n)]) for n, p in ((40, a), (55, a), (70, a), (40, b), (60, b), (30, words(50)))]
+    docs = docs_of(texts, ids=[None, None, None, 5, 5, None])
+    spans = substring_dedup.repeated_spans(docs)
+    rows = spans.collect()
+    assert sorted((r["doc_id"] for r in rows), key=str) == [5, 5, None, None, None]
+    assert all(r["n_words"] > 60 for r in rows)
+    cut = [r["text"] for r in substring_dedup.cut_repeats(docs, spans).collect()]
+    middle = lambda p: sum(" ".join(p[20:-20]) in t for t in cut)
+    assert len(cut) == 6 and middle(a) == middle(b) == 1
+    assert len(set(cut) & set(texts)) == 3
+
+
 def test_chunks_cover_texts_and_resist_insertions(words):
     text = " ".join(words(3000))
     other = text[:5000] + "inserted here" + text[5000:]
