@@ -9,7 +9,9 @@ is lost: 13 words with 2 substitutions always hold either five equal words in a
 equal words on either side, and so do 7 words with 1 and 5 words with none.
 
 Defined results: a null text has no words; items of fewer words than the mask are no evidence and never match.
-Rows that repeat a doc_id or an item_id are taken together in the pairs. Empty tables give no pairs, other
+Documents and items are told apart by a key of id and text, so those without an id, or with the same id and
+other texts, are looked at each by itself; in the pairs, all with the same id, or with none, are taken together.
+Empty tables give no pairs, other
 columns are ignored.
 """
 
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm._spark import checkpoint
+from terrane.llm._spark import checkpoint, row_key
 
 MASKS = ("11011",)
 WINDOW = 13
@@ -52,28 +54,34 @@ def _placed(df: DataFrame, keys: list[str], masks: tuple[str, ...]) -> DataFrame
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = WINDOW, substitutions: int = SUBSTITUTIONS) -> DataFrame:
     """doc_id, item_id, first_word, item_words, equal_words, best_window of every benchmark item found in a document."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = checkpoint(benchmark.select(F.col("item_id").cast("long").alias("item_id"), _words(F.col("text")).alias("words")).where(F.size("words") >= min(map(len, masks))))
-    seeds = _placed(items, ["item_id"], masks).select("seed", "item_id", F.col("place").alias("item_place"))
+    kept = _found(docs, benchmark, masks, window, substitutions)
+    choice = F.max(F.struct("equal_words", "best_window", (-F.col("first_word")).cast("long").alias("back"), "item_words")).alias("b")
+    return kept.groupBy("doc_id", "item_id").agg(choice).select("doc_id", "item_id", (-F.col("b.back")).alias("first_word"), F.col("b.item_words").alias("item_words"), F.col("b.equal_words").alias("equal_words"), F.col("b.best_window").alias("best_window"))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...], window: int, substitutions: int) -> DataFrame:
+    """row (the row key), doc_id, item_id, first_word, item_words, equal_words, best_window of every alignment that counts."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row"))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _words(F.col("text")).alias("words")).where(F.size("words") >= min(map(len, masks)))
+    items = checkpoint(items.withColumn("item", F.xxhash64("item_id", "words")).dropDuplicates(["item"]))
+    seeds = _placed(items, ["item"], masks).select("seed", "item", F.col("place").alias("item_place"))
     small = seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
-    found = _placed(texts.withColumn("words", _words(F.col("text"))), ["doc_id"], masks)
-    hits = found.join(F.broadcast(seeds) if small else seeds, "seed").select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("first_word")).distinct()
+    found = _placed(texts.withColumn("words", _words(F.col("text"))), ["row"], masks)
+    hits = found.join(F.broadcast(seeds) if small else seeds, "seed").select("row", "item", (F.col("place") - F.col("item_place")).alias("first_word")).distinct()
     hits = checkpoint(hits)
-    aligned = texts.join(hits, "doc_id").withColumn("doc_words", _words(F.col("text"))).drop("text").join(items, "item_id")
+    aligned = texts.join(hits, "row").withColumn("doc_words", _words(F.col("text"))).drop("text").join(items, "item")
     n = F.size("words")
     same = F.transform("words", lambda w, i: F.coalesce((F.when(i + F.col("first_word") >= 0, F.get("doc_words", i + F.col("first_word"))) == w).cast("int"), F.lit(0)))
     width = F.least(n, F.lit(window))
-    checked = aligned.select("doc_id", "item_id", "first_word", n.cast("long").alias("item_words"), same.alias("same"), width.alias("width"))
+    checked = aligned.select("row", "doc_id", "item_id", "first_word", n.cast("long").alias("item_words"), same.alias("same"), width.alias("width"))
     add = lambda a, b: a + b
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("same") - F.col("width") + 1), lambda s: F.aggregate(F.slice("same", s, F.col("width")), F.lit(0), add)))
     checked = checked.withColumn("best_window", best.cast("long")).withColumn("equal_words", F.aggregate("same", F.lit(0), add).cast("long"))
     allowed = F.floor(F.col("width") * substitutions / F.lit(window))
-    kept = checked.where(F.col("best_window") >= F.col("width") - allowed)
-    choice = F.max(F.struct("equal_words", "best_window", (-F.col("first_word")).cast("long").alias("back"), "item_words")).alias("b")
-    return kept.groupBy("doc_id", "item_id").agg(choice).select("doc_id", "item_id", (-F.col("b.back")).alias("first_word"), F.col("b.item_words").alias("item_words"), F.col("b.equal_words").alias("equal_words"), F.col("b.best_window").alias("best_window"))
+    return checked.where(F.col("best_window") >= F.col("width") - allowed)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs in which no benchmark item is found; a null doc_id stays."""
-    marked = overlaps(docs, benchmark).select("doc_id").distinct()
-    return docs.join(marked, docs["doc_id"] == marked["doc_id"], "left_anti")
+    """The rows of docs in which no benchmark item is found."""
+    marked = _found(docs, benchmark, MASKS, WINDOW, SUBSTITUTIONS).select(F.col("row").alias("_row")).distinct()
+    return docs.join(marked, row_key() == F.col("_row"), "left_anti")

@@ -232,6 +232,16 @@ def test_decontamination_matches_brute_force(spark, docs_of, words, rng, messy,
     assert decontaminate.overlaps(docs, messy).count() >= 0
 
 
+def test_passages_in_rows_without_ids_or_with_the_same_id_are_leaks(spark, docs_of, words):
+    items = [words(20), words(30)]
+    bench = spark.createDataFrame([(1, " ".join(items[0])), (None, " ".join(items[1]))], "item_id long, text string")
+    texts = [" ".join([*words(15), *more, *words(15)]) for more in (items[0], [], items[1], items[0], [], [])]
+    docs = docs_of(texts, ids=[None, None, 3, 4, 4, 5])
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(docs, bench).collect()}
+    assert got == {(None, 1), (3, None), (4, 1)}
+    assert {r["text"] for r in decontaminate.decontaminate(docs, bench).collect()} == {texts[1], texts[4], texts[5]}
+
+
 def test_main_path_of_decontamination_runs_no_python(spark, docs_of):
     plan = decontaminate.overlaps(docs_of(["a b c d e f"]), spark.createDataFrame([(1, "a b c d e")], "item_id long, text string"))
     assert not re.search("Python|Pandas|Arrow", plan._jdf.queryExecution().toString())
