@@ -40,7 +40,7 @@ ENDPOINTS = {
     "atl06": "photons", "atl06p": "photons", "atl08": "photons", "atl08p": "photons",
     "atl06x": "land_ice", "atl06s": "land_ice", "atl06sp": "land_ice",
     "atl08x": "vegetation", "atl13x": "inland_water", "atl13s": "inland_water", "atl13sp": "inland_water",
-    "atl24x": "bathymetry", "bathyx": "photons", "bathyv": "photons",
+    "atl24x": "bathymetry",
     "gedi01b": "waveforms_l1b", "gedi01bp": "waveforms_l1b", "gedi01bx": "waveforms_l1b",
     "gedi02a": "waveforms_l2a", "gedi02ap": "waveforms_l2a", "gedi02ax": "waveforms_l2a",
     "gedi04a": "waveforms_l4a", "gedi04ap": "waveforms_l4a", "gedi04ax": "waveforms_l4a",
@@ -134,12 +134,24 @@ def _product_filters(df: DataFrame, name: str, r: Request) -> DataFrame:
     return df
 
 
+def _refuse_unsupported(r: Request) -> None:
+    """Options that are known but that no plan carries out are errors."""
+    if r.srt != -1:
+        raise ValueError("srt is not supported: photons have one confidence, not one for each surface type")
+    if r.yapc and r.yapc.get("version", 0) not in (0, 3):
+        raise ValueError(f"yapc version {r.yapc['version']} is not supported")
+    for key, s in (r.samples or {}).items():
+        if other := {k for k, v in s.items() if k != "asset" and (k, v) != ("algorithm", "NearestNeighbour")}:
+            raise ValueError(f"samples {key!r}: {sorted(other)} not supported; rasters are sampled at the nearest pixel")
+
+
 def run(spark: SparkSession, api: str, parms: dict, aoi=None, resources: list[str] | None = None, root: str = ".") -> Frame:
     """Plans a request on products staged under root, one Parquet folder each; nothing runs before the frame is used, but for outputs."""
     if api not in ENDPOINTS:
         raise ValueError(f"unknown request type {api!r}")
     given = dict(parms) | ({"poly": aoi} if aoi is not None else {}) | ({"resources": resources} if resources is not None else {})
     r, name = Request.parse(given), ENDPOINTS[api]
+    _refuse_unsupported(r)
     p = products.PRODUCTS[name]
     df = spark.read.parquet(f"{root}/{name}")
     df = _subset(df, p, r)

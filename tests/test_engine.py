@@ -415,3 +415,9 @@ def test_client(spark, tmp_path):
     raster.from_grid(spark, [[1.0, 2.0], [3.0, 4.0]]).write.parquet(str(tmp_path / "rasters/dem/pixels"))
     pts = spark.createDataFrame([(1, 20.5, 9.5), (2, 50.0, 50.0)], "id int, longitude double, latitude double")
     assert rows(client.sample(pts, "dem").select("id", "`value.value`")) == [(1, 4.0), (2, None)]
+
+
+@pytest.mark.parametrize("api_name, parms", [("bathyx", {}), ("bathyv", {}), ("atl03x", {"srt": 1}), ("atl03x", {"yapc": {"version": 2}}), ("atl03x", {"samples": {"z": {"asset": "a", "zonal_stats": True}}}), ("atl03x", {"samples": {"z": {"asset": "a", "algorithm": "Bilinear"}}})])
+def test_what_no_plan_carries_out_is_refused(spark, api_name, parms):
+    with pytest.raises(ValueError, match="unknown request type|supported"):
+        api.run(spark, api_name, parms)
