@@ -1,9 +1,10 @@
-"""Operator 5: n-gram Jaccard join with a MinHash LSH forest.
+"""Operator 5: n-gram Jaccard join with MinHash banding.
 
 Texts are sets of five-word shingles of lower-cased words. A document's minimum hashes are cut into TREES labels
-of DEPTH hashes; each tree is a prefix trie of its labels. Prefixes start at full depth and are shortened until
-the probability that a pair at the threshold shares a prefix in some tree reaches the target recall
-(`stop_depth`). Nodes of the tries at that depth are the candidate groups; they hold all deeper ones.
+of DEPTH hashes, of which the first few are used. How many is set by formula, before data is read: the most with
+which the probability that a pair at the threshold shares a prefix in some tree reaches the target recall
+(`stop_depth`). Texts that share a prefix are the candidate groups. No tries are built and no data is looked at for
+the depth, so this is banding and not an LSH forest.
 
 Candidate groups that touch form clusters. A cluster is dealt to blocks of about BLOCK texts, and every pair of
 blocks is verified exactly in one task: a product of the blocks' shingle incidence matrices gives all
