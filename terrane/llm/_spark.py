@@ -1,8 +1,7 @@
-"""Shared distributed steps: cutting lineage, joins on hot keys, connected components."""
+"""Shared distributed steps: tables that cut lineage, joins on hot keys, keys of rows, connected components."""
 
 from __future__ import annotations
 
-import gc
 import sys
 from pathlib import Path
 
@@ -10,11 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.sources.scratch import checkpoint as checkpoint
+from terrane.sources.scratch import discard as discard
+from terrane.sources.scratch import table as table
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: A key with more than 1 / HEAVY of all rows is hot; there are fewer than HEAVY of them, so they can be broadcast.
 HEAVY = 1000
-CC_ROUNDS = 60
+LEAST_HOT = 1000
+SALTS = 1 << 16
 
 
 def ship(spark: SparkSession) -> None:
@@ -27,54 +29,50 @@ def ship(spark: SparkSession) -> None:
         sys.path.append(ROOT)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files and checkpoints that nothing refers to any more; it finds them when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def attach(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, how: str = "left") -> DataFrame:
     """left joined with right, which has one row for each key; right's `weight` is how many rows of left have the key.
 
-    Keys with more than total / HEAVY rows, which are fewer than HEAVY, are broadcast; the others are shuffled
-    and none of them is large.
+    Keys with more than total / HEAVY rows, which are fewer than HEAVY, are broadcast; rows that have one are spread over
+    the tasks of the shuffle that the other keys need, so no task gets all rows of a key. left is evaluated once.
     """
-    hot = F.col(weight) > max(total // HEAVY, 1000)
-    heavy, light = right.where(hot), right.where(~hot)
-    marks = heavy.select(*keys)
-    part = left.join(F.broadcast(heavy), keys, "inner")
-    rest = left.join(F.broadcast(marks), keys, "left_anti").join(light, keys, how)
-    return part.unionByName(rest)
+    hot = F.col(weight) > max(total // HEAVY, LEAST_HOT)
+    payload = F.struct(*[c for c in right.columns if c not in keys])
+    heavy = right.where(hot).select(*keys, payload.alias("_heavy"))
+    light = right.where(~hot).select(*keys, F.lit(0).alias("_salt"), payload.alias("_light"))
+    spread = F.when(F.col("_heavy").isNull(), F.lit(0)).otherwise(F.lit(1) + F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int"))
+    both = left.join(F.broadcast(heavy), keys, "left").withColumn("_salt", spread).join(light, [*keys, "_salt"], "left")
+    found = F.coalesce("_heavy", "_light")
+    if how == "inner":
+        both = both.where(found.isNotNull())
+    return both.select(*left.columns, *[found[c].alias(c) for c in right.columns if c not in keys])
 
 
 def row_key() -> Column:
-    """Tells rows (doc_id, text) apart; rows alike in both have the same key."""
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
-
-
-def least(*columns: str) -> Column:
-    return F.least(*[F.col(c) for c in columns])
+    """128 bits that tell rows (doc_id, text) apart; rows alike in both have the same key, and a null text counts as empty."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.col("text"), F.lit("")))))
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges (a long, b long); root is the smallest node of its component.
+    """(node, root) for every node of edges (a, b) of one type that has an order; root is the smallest node of its component.
 
-    Labels spread along edges and are then looked up in themselves, which halves the depth of the pointers at
-    each round. Only minima are aggregated, so a node with many edges is combined before the shuffle.
+    Alternates large-star and small-star steps (Kiveris et al. 2014), which link the greater, then the lesser
+    neighbours of every node to the smallest one and settle in O(log n ** 2) rounds for any graph. Minima are
+    combined before the shuffle and hot nodes are split, so no task gets all edges of a node. Edges are kept as
+    (u, v) with u > v; at the end u are the nodes and v their roots.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = checkpoint(both)
-    labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", least("node", "m").alias("root")))
-    for k in range(CC_ROUNDS):
-        heard = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        step = labels.join(heard, "node").select("node", "root", least("root", "near").alias("new"))
-        jump = step.select(F.col("node").alias("new"), F.col("new").alias("up"))
-        after = checkpoint(step.join(jump, "new", "left").select("node", F.col("root").alias("old"), F.coalesce(least("new", "up"), "new").alias("root")))
-        changed = after.where("root <> old").limit(1).count()
-        labels = after.select("node", "root")
-        if not changed or k % 3 == 2:
-            del heard, step, jump, after
-            release(edges.sparkSession)
-        if not changed:
-            return labels
-    raise RuntimeError(f"components did not settle in {CC_ROUNDS} rounds")
+    kept = table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    while True:
+        n = kept.count()
+        both = kept.unionByName(kept.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("w")).withColumn("m", F.least("u", "m"))
+        large = table(attach(both, least, ["u"], "w", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        discard(kept)
+        n = large.count()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("w"))
+        small = attach(large, least, ["u"], "w", n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        kept = table(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        discard(large)
+        roots = kept.select("v").distinct()
+        # done when every node has one root and no root has another
+        if not kept.groupBy("u").count().where("count > 1").limit(1).count() and not roots.join(kept.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count():
+            return kept.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))

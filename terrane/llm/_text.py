@@ -210,6 +210,12 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64) if x.dtype == _U else x.astype(np.int64)
 
 
+def wide(one: np.ndarray, two: np.ndarray) -> pa.Array:
+    """128-bit keys of two 64-bit hashes."""
+    both = np.ascontiguousarray(np.stack([one.view(_U), two.view(_U)], 1))
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(one), [None, pa.py_buffer(both)]).cast(pa.binary())
+
+
 def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, limit: int = SLICE_BYTES) -> DataFrame:
     """Applies fn to slices of df, which has a string column `text`; a null text is empty."""
     from terrane.llm._spark import ship

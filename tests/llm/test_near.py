@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 
-from terrane.llm import decontaminate, line_dedup, ngram_join, substring_dedup
+from terrane.llm import _spark, decontaminate, line_dedup, ngram_join, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -71,7 +71,7 @@ def check_join(docs, **options):
 def test_join_matches_brute_force(docs_of, words, rng):
     texts = near_texts(words, rng)
     check_join(docs_of(texts))
-    check_join(docs_of(texts), block=7)
+    check_join(docs_of(texts), block=3000)
 
 
 def test_join_on_the_tables(spark, sf_dir):
@@ -106,9 +106,41 @@ def test_classes_without_ids_or_with_the_same_id_keep_a_row_each(docs_of, words)
 
 
 def test_recall_rises_as_prefixes_shorten():
-    assert ngram_join.stop_depth(0.8, 0.9999) == 5
-    assert ngram_join.stop_depth(0.8, 0.5) == 6
+    assert ngram_join.floor_depth(0.8, 0.9999) == 5
+    assert ngram_join.floor_depth(0.8, 0.5) == 7
     assert ngram_join.recall(5, 0.8) > 0.9999 > ngram_join.recall(6, 0.8)
+    equal, mixed, none = np.zeros(20), np.ones(20), np.zeros(20)
+    equal[-1] = 100
+    assert ngram_join.estimated_recall(equal, 7, 0.8) > 0.9999 > ngram_join.estimated_recall(mixed, 7, 0.8)
+    assert ngram_join.estimated_recall(none, 7, 0.8) == 0
+
+
+def test_deep_prefixes_find_less_until_they_are_shortened(docs_of, words, rng):
+    texts = []
+    for _ in range(60):
+        base = words(100)
+        texts += [" ".join(base), " ".join([*base[:50], *words(2), *base[52:]]), " ".join([*base[:30], *words(1), *base[31:]])]
+    docs = docs_of(texts)
+    links = lambda **k: sum(r["n_links"] for r in ngram_join.ngram_join(docs, **k).collect())
+    every = sum(n for _, _, n in brute_join(list(enumerate(texts))))
+    assert links(trees=3, depth=6, target=0.2) < links(trees=24, depth=6) == every
+
+
+def test_components_of_a_long_chain_and_a_star(spark):
+    ids = np.random.default_rng(3).permutation(10_000).tolist()
+    chain, star = ids[:7000], ids[7000:]
+    edges = [*zip(chain, chain[1:]), *((star[0], x) for x in star[1:]), (chain[0], chain[0])]
+    got = {r["node"]: r["root"] for r in _spark.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys(chain, min(chain)) | dict.fromkeys(star, min(star))
+
+
+def test_join_of_a_long_chain_and_many_copies_of_one_text(docs_of, words):
+    base = words(3100)
+    chain = [" ".join(base[k : k + 100]) for k in range(0, 2700, 9)]
+    hub = words(50)
+    docs = docs_of([*chain, *[" ".join(hub)] * 200, *(" ".join([*hub, w]) for w in words(60))])
+    check_join(docs)
+    check_join(docs, block=9000)
 
 
 def within_one(a, b):
