@@ -154,15 +154,21 @@ counts AS (SELECT a AS node, sum(copies)::BIGINT AS n FROM links JOIN nodes ON n
 SELECT doc_id, class_id, (copies - 1 + coalesce(n, 0))::BIGINT AS n_links
 FROM k JOIN nodes USING (node) JOIN classes USING (node) LEFT JOIN counts USING (node)"""
 
-#: Words left out one at a time, whole sequences instead of hashes.
+#: Lines settled in rounds over all pairs that share what is left without one word; whole sequences instead of hashes.
 ORACLES["op9_line_dedup"] = rf"""
-WITH l AS (SELECT doc_id, text, unnest(ls) AS line, unnest(range(len(ls))) AS k FROM (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+WITH RECURSIVE l AS (SELECT doc_id, text, unnest(ls) AS line, unnest(range(len(ls))) AS k FROM (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
 w AS (SELECT doc_id, k, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM l),
-c AS (SELECT w, min((doc_id, k)) AS first FROM w WHERE len(w) >= {line_dedup.MIN_WORDS} GROUP BY w),
-v AS (SELECT w, first, i, w[:i] || w[i + 2:] AS v FROM (SELECT *, unnest(range(len(w))) AS i FROM c WHERE len(w) >= {line_dedup.NEAR_WORDS})),
-s AS (SELECT w FROM (SELECT w, first, min(first) OVER (PARTITION BY v, i) AS early FROM v) WHERE early < first),
-x AS (SELECT a.w AS a, b.w AS b, a.first < b.first AS a_first FROM c a JOIN v b ON b.v = a.w WHERE len(a.w) >= {line_dedup.NEAR_WORDS}),
-near AS (SELECT w FROM s UNION SELECT CASE WHEN a_first THEN b ELSE a END FROM x),
-m AS (SELECT w.doc_id, w.k, w.line, coalesce((w.doc_id, w.k) <> c.first OR near.w IS NOT NULL, false) AS gone FROM w LEFT JOIN c ON c.w = w.w LEFT JOIN near ON near.w = w.w)
+c AS (SELECT w, min((doc_id, k)) AS first FROM w WHERE len(w) > 0 GROUP BY w),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY first) AS n FROM c),
+v AS (SELECT w, n, i, w[:i] || w[i + 2:] AS v FROM (SELECT *, unnest(range(len(w))) AS i FROM o WHERE len(w) >= {line_dedup.WORDS_PER_EDIT})),
+p AS (SELECT DISTINCT a.n AS a, b.n AS b FROM v a JOIN v b ON a.v = b.v AND a.i = b.i AND a.n < b.n
+      UNION SELECT DISTINCT least(a.n, b.n), greatest(a.n, b.n) FROM o a JOIN v b ON b.v = a.w WHERE len(a.w) >= {line_dedup.WORDS_PER_EDIT}),
+-- one line after the other: the state of all lines in pairs, as a list of those that stay
+q AS MATERIALIZED (SELECT b, list(a) AS earlier, row_number() OVER (ORDER BY b) AS step FROM p GROUP BY b),
+r AS (SELECT 0::BIGINT AS step, []::BIGINT[] AS near
+      UNION ALL SELECT q.step, CASE WHEN len(list_filter(q.earlier, lambda x: NOT list_contains(r.near, x))) > 0 THEN list_append(r.near, q.b) ELSE r.near END
+      FROM r JOIN q ON q.step = r.step + 1),
+near AS (SELECT unnest(near) AS n FROM (SELECT near FROM r ORDER BY step DESC LIMIT 1)),
+m AS (SELECT w.doc_id, w.k, w.line, coalesce((w.doc_id, w.k) <> o.first OR near.n IS NOT NULL, false) AS gone FROM w LEFT JOIN o ON o.w = w.w LEFT JOIN near ON near.n = o.n)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS text_sha256
 FROM m GROUP BY doc_id"""

@@ -1,5 +1,6 @@
 """Operators 4, 5, 9 and 10 against brute force."""
 
+import hashlib
 import re
 from collections import defaultdict
 
@@ -153,22 +154,32 @@ def within_one(a, b):
 
 
 def brute_lines(rows):
-    """text and removed line numbers by row."""
+    """text and removed line numbers by row: a line goes if it is a copy of an earlier one that stays."""
     lines = []
     for r, (i, t) in enumerate(rows):
         for k, line in enumerate((t or "").split("\n")):
-            lines.append((r, (i is not None, i or 0, k), tuple(words_of(line))))
-    gone = defaultdict(set)
-    for r, at, w in lines:
-        if len(w) < line_dedup.MIN_WORDS:
+            lines.append(((i is not None, i or 0, k), row_hash(i, t), r, tuple(words_of(line))))
+    gone, stay = defaultdict(set), {}
+    for at, key, r, w in sorted(lines, key=lambda x: x[:3]):
+        if not w:
             continue
-        for _, other, v in lines:
-            if other < at and (v == w or (min(len(v), len(w)) >= line_dedup.NEAR_WORDS and abs(len(v) - len(w)) <= 1 and within_one(w, v))):
+        place = (at, key)
+        first = stay.get(w)
+        if first is not None:
+            if first != place:
                 gone[r].add(at[2])
-                break
+        elif len(w) >= 8 and any(len(v) >= 8 and abs(len(v) - len(w)) <= 1 and within_one(w, v) for v, p in stay.items() if p):
+            gone[r].add(at[2])
+            stay[w] = ()
+        else:
+            stay[w] = place
     return [(i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[r]), len(gone[r])) for r, (i, t) in enumerate(rows)]
 
 
+def row_hash(i, t):
+    return hashlib.md5(f"{'-' if i is None else i}:{t or ''}".encode()).digest()
+
+
 def check_lines(docs):
     got = sorted(((r["doc_id"], r["text"], r["n_removed"]) for r in line_dedup.line_dedup(docs).collect()), key=str)
     assert got == sorted(brute_lines([(r["doc_id"], r["text"]) for r in docs.collect()]), key=str)
@@ -196,6 +207,27 @@ def test_line_dedup_matches_brute_force(docs_of, words, rng):
     check_lines(docs_of(texts, ids=ids))
 
 
+def test_a_line_near_one_that_has_gone_stays(docs_of, words):
+    a, other = words(16), words(3)
+    b = [*a[:3], other[0], *a[4:]]
+    c = [*b[:9], other[1], *b[10:]]
+    d = [*c[:14], other[2], *c[15:]]
+    docs = docs_of([" ".join(x) for x in (a, b, c, d, c, b)])
+    assert [r["n_removed"] for r in line_dedup.line_dedup(docs).orderBy("doc_id").collect()] == [0, 1, 0, 1, 1, 1]
+    check_lines(docs)
+
+
+def test_columns_with_names_of_any_kind_stay(spark, docs_of, words):
+    texts = [" ".join(words(20))] * 2 + ["one\ntwo", "two\none"]
+    names = ["_of", "_removed", "_spans", "_good", "_text", "_row", "_heavy", "_salt", "row", "doc", "removed", "hit", "shared", "class"]
+    docs = docs_of(texts).selectExpr("*", *[f"{k} as `{n}`" for k, n in enumerate(names)])
+    bench = spark.createDataFrame([(1, " ".join(words(20)))], "item_id long, text string")
+    spans = substring_dedup.repeated_spans(docs)
+    for out in (line_dedup.line_dedup(docs, counts=False), ngram_join.keep_one(docs), substring_dedup.cut_repeats(docs, spans), decontaminate.decontaminate(docs, bench)):
+        assert out.columns == docs.columns
+        assert all(r[n] == k for r in out.collect() for k, n in enumerate(names))
+
+
 def test_line_dedup_of_messy_rows_and_of_nothing(messy, nothing):
     check_lines(messy)
     assert line_dedup.line_dedup(nothing).collect() == []
