@@ -5,9 +5,14 @@ from __future__ import annotations
 import sys
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BooleanType
 
+from terrane.llm import _bloom
 from terrane.sources.scratch import checkpoint as checkpoint
 from terrane.sources.scratch import discard as discard
 from terrane.sources.scratch import table as table
@@ -52,6 +57,20 @@ def row_key() -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.col("text"), F.lit("")))))
 
 
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs without the rows whose key is in rows (row). Only rows that a Bloom filter lets pass are joined; all columns travel in one, so no name of theirs matters."""
+    ship(docs.sparkSession)
+    bits = _bloom.build(rows.select(F.xxhash64("row").alias("hash")), "hash")
+
+    @pandas_udf(BooleanType())
+    def likely(key: pd.Series) -> pd.Series:
+        return pd.Series(_bloom.maybe(bits, key.to_numpy(np.int64)))
+
+    whole = docs.select(F.struct("*").alias("doc"), row_key().alias("row")).withColumn("likely", likely(F.xxhash64("row")))
+    kept = whole.where("likely").join(rows, "row", "left_anti")
+    return whole.where("not likely").select("doc").unionByName(kept.select("doc")).select("doc.*")
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b) of one type that has an order; root is the smallest node of its component.
 

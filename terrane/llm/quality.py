@@ -9,11 +9,13 @@ non-decreasing calibration. All labelled rows outside the held-out quarter take
 Defined results: a null text is empty and gets a score like any other; a null doc_id counts as the empty string
 for the held-out rule and has no label. Labels that are null are skipped, repeated ones all count. Without
 any label to learn from, every score is 1, so nothing is rejected. An empty table gives an empty result;
-other columns are ignored.
+other columns are ignored, whatever their names. Rows that repeat a doc_id are scored each by its own text. Statistics of a very
+long text are made in one task, in memory in proportion to its bytes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm import _text
-from terrane.llm._spark import checkpoint
+from terrane.llm._spark import row_key, table, without
 
 FEATURES = 256
 WIDTH = 1.0
@@ -33,6 +35,8 @@ HELD_OUT = 2
 FOLDS = (0, 1, 3)
 BINS = 2000
 GROUPS = 8
+#: Labelled rows in a partition of sums.
+PER_SUM = 1 << 14
 
 _SETS = {
     "upper": range(65, 91),
@@ -108,7 +112,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
 
 def _feature_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
     x = statistics(batch.column("text"))
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "stats"])
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "row", "stats"])
 
 
 def remainder(doc_id: Column, n: int) -> Column:
@@ -182,14 +186,26 @@ def isotonic(x: np.ndarray, total: np.ndarray, weight: np.ndarray) -> tuple[np.n
 
 def quality(docs: DataFrame, labels: DataFrame, features: int = FEATURES, width: float = WIDTH, ridge: float = RIDGE, seed: int = SEED, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs (doc_id, text); labels: (doc_id, quality)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    stats = checkpoint(_text.map_text(texts, _feature_rows, "doc_id long, stats binary"))
+    return scored(docs, labels, features, width, ridge, seed, threshold).drop("row")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of docs that are predicted to be good. Columns stay."""
+    return without(docs, table(scored(docs, labels, **options).where("predicted = 0").select("row").distinct()))
+
+
+def scored(docs: DataFrame, labels: DataFrame, features: int = FEATURES, width: float = WIDTH, ridge: float = RIDGE, seed: int = SEED, threshold: float = THRESHOLD) -> DataFrame:
+    """Like quality, with the row key."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row"))
+    stats = table(_text.map_text(texts, _feature_rows, "doc_id long, row binary, stats binary"))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("label")).where("label is not null")
     fold = remainder(F.col("doc_id"), 4).cast("long").alias("fold")
-    known = checkpoint(stats.join(marks, "doc_id").select(fold, "stats", "label").where(F.col("fold") != HELD_OUT))
+    known = table(stats.join(marks, "doc_id").select(fold, "stats", "label").where(F.col("fold") != HELD_OUT))
+    # every partition sends its sums, so their number follows the labels', not the input's
+    known = known.repartition(max(1, math.ceil(known.count() / PER_SUM)))
     moments = _summed(known, lambda x, y: np.vstack([np.full((1, x.shape[1]), len(x)), x.sum(0), (x**2).sum(0)]).ravel())
     if not moments:
-        return stats.select("doc_id", (remainder(F.col("doc_id"), 4) == HELD_OUT).alias("held_out"), F.lit(1.0).alias("score"), F.lit(1).alias("predicted"))
+        return stats.select("doc_id", "row", (remainder(F.col("doc_id"), 4) == HELD_OUT).alias("held_out"), F.lit(1.0).alias("score"), F.lit(1).alias("predicted"))
     n, first, second = sum(moments.values()).reshape(3, -1)
     mean = first / n
     scale = np.sqrt(np.maximum(second / n - mean**2, 1e-12))
@@ -217,8 +233,8 @@ def quality(docs: DataFrame, labels: DataFrame, features: int = FEATURES, width:
                 yield pa.RecordBatch.from_arrays([pa.array(bins), b.column("label")], names=["bin", "label"])
 
     binned = known.mapInArrow(outside, "bin long, label double").groupBy("bin").agg(F.sum("label").alias("s"), F.count("*").alias("w")).orderBy("bin").collect()
-    table = np.array([tuple(r) for r in binned], float)
-    at, level = isotonic((table[:, 0] + 0.5) / BINS * 2 - 0.5, table[:, 1], table[:, 2])
+    bins = np.array([tuple(r) for r in binned], float)
+    at, level = isotonic((bins[:, 0] + 0.5) / BINS * 2 - 0.5, bins[:, 1], bins[:, 2])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -226,7 +242,7 @@ def quality(docs: DataFrame, labels: DataFrame, features: int = FEATURES, width:
                 s = fourier(_matrix(b.column("stats")), mean, scale, omega, phase) @ everything
                 # a hundredth of the raw score keeps the order inside flat parts of the calibration
                 p = np.clip(0.99 * np.interp(s, at, level) + 0.01 * np.clip((s + 0.5) / 2, 0, 1), 0, 1)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p)], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(p)], names=["doc_id", "row", "score"])
 
-    scored = stats.mapInArrow(score, "doc_id long, score double")
-    return scored.select("doc_id", (remainder(F.col("doc_id"), 4) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    out = stats.mapInArrow(score, "doc_id long, row binary, score double")
+    return out.select("doc_id", "row", (remainder(F.col("doc_id"), 4) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

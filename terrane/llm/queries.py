@@ -90,7 +90,7 @@ FROM cut""",
     "op3_exact_dedup": f"""
 WITH t AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
-       doc_id IS NOT DISTINCT FROM max(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256
+       row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256
 FROM t""",
 }
 
@@ -132,7 +132,12 @@ windows AS (
          count(*) OVER (PARTITION BY doc_id, item_id, first_word ORDER BY k RANGE BETWEEN least(n, {decontaminate.WINDOW}) - 1 PRECEDING AND CURRENT ROW) AS inside
   FROM likely),
 best AS (SELECT doc_id, item_id, first_word, n, equal_words, max(inside) AS best_window FROM windows GROUP BY ALL),
-kept AS (SELECT * FROM best WHERE best_window >= least(n, {decontaminate.WINDOW}) - floor(least(n, {decontaminate.WINDOW}) * {decontaminate.SUBSTITUTIONS} / {decontaminate.WINDOW}.0)),
+lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS number FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+counted AS (SELECT doc_id, number, list_filter(regexp_split_to_array(lower(line), '[ 	-
+]+'), lambda x: x <> '') AS w FROM lines),
+placed AS (SELECT doc_id, w, coalesce(sum(len(w)) OVER (PARTITION BY doc_id ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_word FROM counted),
+short AS (SELECT p.doc_id, b.item_id, p.first_word, len(b.w) AS n FROM placed p JOIN b ON p.w = b.w WHERE len(b.w) BETWEEN 1 AND 4),
+kept AS (SELECT doc_id, item_id, first_word, n, n AS equal_words, n AS best_window FROM short UNION ALL SELECT doc_id, item_id, first_word, n, equal_words, best_window FROM best WHERE best_window >= least(n, {decontaminate.WINDOW}) - floor(least(n, {decontaminate.WINDOW}) * {decontaminate.SUBSTITUTIONS} / {decontaminate.WINDOW}.0)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY equal_words DESC, best_window DESC, first_word) AS r FROM kept)
 SELECT doc_id, item_id, first_word::BIGINT AS first_word, n::BIGINT AS item_words, equal_words::BIGINT AS equal_words, best_window::BIGINT AS best_window
 FROM ranked WHERE r = 1"""

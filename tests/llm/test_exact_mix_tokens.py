@@ -19,7 +19,8 @@ def brute_copies(rows):
     out = []
     for text, ids in groups.items():
         keep = max((i for i in ids if i is not None), default=None)
-        out += [(i, keep, len(ids), i == keep, hashlib.sha256(text.encode()).hexdigest()) for i in ids]
+        stays = ids.index(keep)
+        out += [(i, keep, len(ids), k == stays, hashlib.sha256(text.encode()).hexdigest()) for k, i in enumerate(ids)]
     return sorted(out, key=str)
 
 
@@ -34,6 +35,15 @@ def test_exact_dedup_tells_texts_apart_that_share_a_fingerprint(docs_of):
     assert got == brute_copies(list(enumerate(texts)))
 
 
+def test_exact_dedup_of_texts_cut_into_segments(docs_of, words):
+    base = "ünd " * 5000
+    texts = [base, base.upper().replace("Ü", "ü"), base[:-1], base[:9000] + "x" + base[9001:], "short", "SHORT", None, ""]
+    ids = [1, 7, 3, 4, None, None, 9, 9]
+    for bits in (62, 0):
+        got = sorted(map(tuple, exact_dedup.exact_dedup(docs_of(texts, ids=ids), bits=bits, segment=8192).collect()), key=str)
+        assert got == brute_copies(list(zip(ids, texts)))
+
+
 def test_fingerprints_compose():
     data = np.random.default_rng(1).integers(0, 256, 30_000, dtype=np.uint8)
     whole = exact_dedup.fingerprint(data)

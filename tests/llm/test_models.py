@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from terrane.llm import lm_score, quality
+from terrane.llm import lm_score, mixing, quality
 from tests.llm.test_exact_mix_tokens import brute_targets
 from tests.llm.test_near import brute_join, brute_leaks, brute_lines
 
@@ -116,13 +116,41 @@ def test_pipeline_matches_brute_force(spark, sf_dir):
         sizes[r["source"]] += len(WORD.findall(r["text"] or ""))
     goal = brute_targets(sizes)
     got = corpus_pipeline.run(spark, sf_dir).collect()
-    assert {r["doc_id"] for r in got} == set(left) and len(got) == len(left)
-    taken = defaultdict(int)
+    taken, size = defaultdict(int), lambda i: len(WORD.findall(left[i]["text"] or ""))
+    plan = {r["doc_id"]: r for r in mixing.mix(spark.createDataFrame([(r["doc_id"], r["text"], r["source"]) for r in left.values()], "doc_id long, text string, source string")).collect()}
+    assert {r["doc_id"] for r in got} == {i for i, r in plan.items() if r["taken"] > 0} <= set(left)
     for r in got:
-        assert r["size"] == len(WORD.findall(left[r["doc_id"]]["text"] or ""))
-        assert r["target"] == pytest.approx(goal[r["source"]], abs=1e-6)
-        taken[r["source"]] += r["taken"]
-    assert all(n == int(goal[s] + 1e-9) for s, n in taken.items())
+        n = len(WORD.findall(r["text"]))
+        assert r["text"] == left[r["doc_id"]]["text"] or WORD.findall(left[r["doc_id"]]["text"])[:n] == WORD.findall(r["text"])
+        assert r["source"] == left[r["doc_id"]]["source"] and r["n_chars"] == len(r["text"]) and n <= size(r["doc_id"])
+        taken[r["doc_id"]] += n
+    assert all(n == plan[i]["taken"] for i, n in taken.items())
+    by_source = defaultdict(int)
+    for i, n in taken.items():
+        by_source[left[i]["source"]] += n
+    assert all(n == int(goal[s] + 1e-9) for s, n in by_source.items())
+
+
+def test_pipeline_of_messy_and_of_empty_tables(spark, messy, nothing, tmp_path):
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "an id is missing here"), (None, None)], "item_id long, text string")
+    for k, (docs, marks, bench) in enumerate([(messy, labels, items), (messy, labels.limit(0), items.limit(0)), (nothing, labels, items)]):
+        where = f"{tmp_path}/{k}"
+        for name, table in (("documents", docs), ("labels", marks), ("benchmark", bench)):
+            table.write.parquet(f"{where}/{name}.parquet")
+        rows = corpus_pipeline.run(spark, where).collect()
+        assert (len(rows) > 0) == (k == 1) or k == 0
+        assert k != 0 or not any(r["text"] == "an id is missing here" for r in rows)
+
+
+def test_a_rejected_row_does_not_take_others_of_its_id_along(spark, docs_of):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    told = {r["doc_id"]: r["predicted"] for r in quality.quality(docs, labels).collect()}
+    some = docs.where("doc_id < 400").collect()
+    kept = quality.accepted(docs.unionByName(docs_of([r["text"] for r in some], ids=[None] * len(some))), labels)
+    lone = sorted(r["text"] for r in kept.where("doc_id is null").collect())
+    assert lone == sorted(r["text"] for r in some if told[r["doc_id"]]) and 0 < len(lone) < len(some)
 
 
 def test_stages_keep_the_columns_of_documents(spark, sf_dir, messy, nothing):
@@ -132,4 +160,4 @@ def test_stages_keep_the_columns_of_documents(spark, sf_dir, messy, nothing):
             assert out.columns == docs.columns, name
             # columns that a stage doesn't work on stay as they are
             assert {r["n_lines"] for r in out.select("n_lines").collect()} <= {20} if "n_lines" in docs.columns else out.count() == 0
-        assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count()
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).columns == [*docs.columns, "epoch"]

@@ -259,6 +259,8 @@ def brute_leaks(docs, items):
         for j, x in items:
             v = WORD.findall((x or "").lower())
             if len(v) < 5:
+                if v and v in [WORD.findall(x) for x in (t or "").lower().split("\n")]:
+                    out.add((i, j))
                 continue
             width = min(13, len(v))
             allowed = width * 2 // 13
@@ -281,6 +283,7 @@ def test_decontamination_matches_brute_force(spark, docs_of, words, rng, messy,
         texts.append(" ".join(v[: len(v) // 2]))
         texts.append(" ".join(v[len(v) // 3 :]).upper())
     texts += [" ".join(words(50)) for _ in range(10)]
+    texts += ["first line\n" + " ".join(items[0]).upper() + "  \nlast", " ".join([*items[0], "more"])]
     bench = spark.createDataFrame([*enumerate(" ".join(v) for v in items), (50, None), (51, ""), (52, "of the")], "item_id long, text string")
     docs = docs_of(texts)
     rows = decontaminate.overlaps(docs, bench).collect()
@@ -291,6 +294,7 @@ def test_decontamination_matches_brute_force(spark, docs_of, words, rng, messy,
     assert kept == set(range(len(texts))) - {i for i, _ in got}
     assert decontaminate.overlaps(messy, bench).collect() == []
     assert decontaminate.decontaminate(messy, bench).count() == messy.count()
+    assert {(r["doc_id"], r["first_word"]) for r in rows if r["item_id"] == 0} >= {(len(texts) - 2, 2)}
     assert decontaminate.overlaps(nothing, bench).collect() == []
     assert decontaminate.overlaps(docs, bench.limit(0)).collect() == []
     assert decontaminate.overlaps(docs, messy).count() >= 0
@@ -350,6 +354,48 @@ def test_passages_of_rows_without_ids_or_with_the_same_id_are_found(docs_of, wor
     assert len(set(cut) & set(texts)) == 3
 
 
+def brute_spans(rows):
+    """doc_id, start_byte, end_byte, n_chunks, n_words, first_doc_id by the definition of chunks, byte by byte."""
+    table, radius = substring_dedup._TABLE.tolist(), substring_dedup.RADIUS
+    spread = lambda h: ((h * 0x9E3779B1) ^ (h >> 7)) & 0xFFFFFFFF
+    chunks = []
+    for r, (i, t) in enumerate(rows):
+        data = (t or "").encode()
+        pad = bytes(32)
+        full = pad + data + pad
+        h = [spread(sum(table[full[k - j]] << j for j in range(min(8, k + 1))) & 0xFFFFFFFF) for k in range(len(full))]
+        peak = lambda k: all(h[k] > x for x in h[k - radius : k]) and all(h[k] >= x for x in h[k + 1 : k + radius + 1])
+        edges = sorted({0, len(data), *(k + 1 for k in range(len(data)) if peak(k + 32))})
+        edges = sorted({*edges, *(x for a, b in zip(edges, edges[1:]) if b - a > 512 for x in range(a + 512, b, 512))})
+        starts = [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+        chunks.append([(data[a:b], a, b, sum(a <= x < b for x in starts)) for a, b in zip(edges, edges[1:])])
+    holders = defaultdict(set)
+    for (i, _), found in zip(rows, chunks, strict=True):
+        for piece, *_ in found:
+            holders[piece].add(i)
+    out = []
+    for (i, _), found in zip(rows, chunks, strict=True):
+        run = []
+        for c in [*found, None]:
+            if c is not None and len(holders[c[0]]) > 1:
+                run.append(c)
+                continue
+            if sum(x[3] for x in run) >= substring_dedup.MIN_WORDS:
+                out.append((i, run[0][1], run[-1][2], len(run), sum(x[3] for x in run), min(min(holders[x[0]]) for x in run)))
+            run = []
+    return sorted(out)
+
+
+def test_spans_match_brute_force(docs_of, words, rng):
+    passages = [words(n) for n in (30, 55, 120)]
+    texts = [" ".join([*words(rng.randint(0, 60)), *rng.choice(passages), *words(rng.randint(0, 60))]) for _ in range(25)]
+    texts += ["x" * 3000 + " " + " ".join(passages[1]), "y " + "x" * 3000 + " " + " ".join(passages[1]), "ünd " * 50, "ünd " * 50, ""]
+    rows = list(enumerate(texts))
+    names = ("doc_id", "start_byte", "end_byte", "n_chunks", "n_words", "first_doc_id")
+    got = sorted(tuple(r[n] for n in names) for r in substring_dedup.repeated_spans(docs_of(texts)).collect())
+    assert got == brute_spans(rows) and len(got) > 20
+
+
 def test_chunks_cover_texts_and_resist_insertions(words):
     text = " ".join(words(3000))
     other = text[:5000] + "inserted here" + text[5000:]
