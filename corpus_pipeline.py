@@ -1,4 +1,11 @@
-"""A cleaning pipeline over `documents`: each stage calls one operator on what the stage before it kept."""
+"""A cleaning pipeline over `documents`: each stage calls one operator on what the stage before it kept.
+
+Defined results, as in the operators' docstrings: null texts count as empty and may be rejected or left out like others; rows without an id, or with
+the same id and other texts, are documents of their own in all stages; of rows alike in id and text the join keeps one. Ties are broken
+by id, then by a key of the row. Tables may be empty: without labels nothing is rejected, without benchmark items
+nothing is a leak, and without documents the result has no rows. Columns of any name stay as they are, but for `text`, `n_chars` and,
+in the last stage, `epoch`. Very long texts are worked on in one task each.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.llm import decontaminate, line_dedup, mixing, ngram_join, quality
-from terrane.llm._spark import checkpoint
+from terrane.sources.scratch import table
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is under the threshold go."""
-    good = quality.quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("predicted = 1").select(F.col("doc_id").alias("_good")).distinct()
-    return docs.join(good, F.col("doc_id").cast("long").eqNullSafe(F.col("_good")), "left_semi")
+    """Rows whose text's score is under the threshold go."""
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +37,8 @@ def _leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document."""
-    return mixing.mix(docs)
+    """The mix: documents by epoch, without those of which nothing is taken."""
+    return mixing.mixed(docs)
 
 
 STAGES = [
@@ -53,5 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = checkpoint(docs)
+            docs = table(docs)
     return docs
