@@ -43,7 +43,9 @@ def attach(left: DataFrame, right: DataFrame, keys: list[str], weight: str, tota
     hot = F.col(weight) > max(total // HEAVY, LEAST_HOT)
     payload = F.struct(*[c for c in right.columns if c not in keys])
     heavy = right.where(hot).select(*keys, payload.alias("_heavy"))
-    light = right.where(~hot).select(*keys, F.lit(0).alias("_salt"), payload.alias("_light"))
+    # always 0, but not a constant that the optimizer would take out of the join's keys
+    none = F.pmod(F.xxhash64(*keys), F.lit(1)).cast("int")
+    light = right.where(~hot).select(*keys, none.alias("_salt"), payload.alias("_light"))
     spread = F.when(F.col("_heavy").isNull(), F.lit(0)).otherwise(F.lit(1) + F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int"))
     both = left.join(F.broadcast(heavy), keys, "left").withColumn("_salt", spread).join(light, [*keys, "_salt"], "left")
     found = F.coalesce("_heavy", "_light")

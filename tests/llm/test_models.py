@@ -58,17 +58,72 @@ def test_scores_of_messy_rows_and_of_nothing(messy, nothing, docs_of):
     assert [(r["n_tokens"], r["n_known"], r["train_tokens"]) for r in alone] == [(3, 0, 0)] and math.isfinite(alone[0]["score"])
 
 
-def test_model_is_normalised_and_learns_order():
-    n, coarse = 6, 3
-    rng = np.random.default_rng(0)
-    context = np.arange((n + 2) * (coarse + 2))
-    true = rng.dirichlet(np.full(n + 1, 0.3), len(context))
-    counts = np.round(true * 1000).astype(np.float32)
-    unigram = counts.sum(0) / counts.sum()
-    model = lm_score.Model(unigram, n, coarse, 16).train(context, counts, unigram, steps=600)
-    p = 10.0 ** model.log10(context).astype(float)
-    assert np.allclose(p.sum(1), 1, atol=1e-4)
-    assert (counts * np.log(p)).sum() > (counts * np.log(unigram)).sum() * 0.9
+def small_model(rng, n=30):
+    """A vocabulary of n words of which 25 are heads, and tokens of a chain in which each word is followed by few others."""
+    follow = rng.dirichlet(np.full(n, 0.05), n)
+    token, out = 0, []
+    for u in rng.random(120_000):
+        token = min(int(np.searchsorted(np.cumsum(follow[token]), u)), n - 1)
+        out.append(token)
+    hashes = lm_score._text.mix(np.arange(1, n + 1, dtype=np.uint64))
+    out = np.array(out)
+    count = np.bincount(out, minlength=n)
+    order = np.argsort(-count)
+    heads, others = order[:25], order[25:]
+    classes = lm_score.classes_for(25)
+    rest = np.zeros(classes, np.int64)
+    np.add.at(rest, (hashes[others] % np.uint64(classes)).astype(int), count[others])
+    return lm_score.Vocabulary(hashes[heads], count[heads], rest), hashes[out], out, follow
+
+
+def test_model_is_normalised_and_comes_near_an_exact_one():
+    v, token, chain, follow = small_model(np.random.default_rng(0))
+    model = lm_score.Model(v)
+    number, cls, slot = v(token)
+    one, two = v.contexts(number, np.array([0, len(token)]))
+    before = model.log(one, two, cls, slot).mean()
+    trainer = lm_score.Trainer(model, v, 1)
+    for _ in range(12):
+        for k in range(0, 100_000, 2000):
+            trainer.step(one[k : k + 2000], two[k : k + 2000], cls[k : k + 2000], slot[k : k + 2000])
+    model.p = trainer.p
+    held = slice(100_000, None)
+    after = model.log(one[held], two[held], cls[held], slot[held]).mean()
+    # the chain's own probabilities, of common places where words share one
+    exact = np.zeros((len(follow), v.classes, v.slots + 1))
+    hashes = lm_score._text.mix(np.arange(1, len(follow) + 1, dtype=np.uint64))
+    _, c, s = v(hashes)
+    for w in range(len(follow)):
+        exact[:, c[w], s[w]] += follow[:, w]
+    best = np.log(exact[chain[99_999:-1], cls[held], slot[held]]).mean()
+    assert after - before > 0.7 * (best - before) > 0
+    # every context's probabilities add up to one over all places
+    places = [(a, b) for a in range(v.classes) for b in range(v.slots + 1)]
+    for x, y in ((0, 3), (25, 30), (v.n + v.classes, v.n + v.classes)):
+        p = np.exp(model.log(np.full(len(places), x), np.full(len(places), y), np.array([a for a, _ in places]), np.array([b for _, b in places])).astype(float))
+        assert p.sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_partitions_train_one_model(spark):
+    v, token, _, _ = small_model(np.random.default_rng(0))
+    names = {int(h): f"w{k}" for k, h in enumerate(np.unique(token).tolist())}
+    text = [names[int(t)] for t in token]
+    docs = [" ".join(text[k : k + 200]) for k in range(0, len(text), 200)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string").repartition(4, "doc_id")
+    rows = lm_score.lm_score(df, heads=30, batch=500).collect()
+    held = [r for r in rows if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held) * 0.9
+    again = {r["doc_id"]: r["score"] for r in lm_score.lm_score(df, heads=30, batch=500).collect()}
+    assert all(again[r["doc_id"]] == pytest.approx(r["score"], rel=1e-3) for r in rows)
+
+
+def test_alias_tables_give_back_their_probabilities():
+    p = np.array([[0.5, 0.2, 0.3, 0.0], [0.25, 0.25, 0.25, 0.25]])
+    keep, other = lm_score.alias(p)
+    for r in range(2):
+        q = keep[r].astype(float) / 4
+        np.add.at(q, other[r], (1 - keep[r].astype(float)) / 4)
+        assert np.allclose(q, p[r], atol=1e-6)
 
 
 def test_quality_on_held_out_rows(spark):
