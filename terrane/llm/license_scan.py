@@ -1,13 +1,16 @@
 """Operator 6: license scans by template-markup matching.
 
-A template is a line of words with marked regions: [[words]] may be missing, {{name:lo-hi}} stands for lo to hi
+A template is a license's wording with marked regions: [[words]] may be missing, {{name:lo-hi}} stands for lo to hi
 words of any kind, and (a|b) for one of several words. It is compiled into an automaton over word hashes. The
 automaton starts at every place where a word can begin a template and accepts if all mandatory wording follows
-exactly. Beside the templates, plain phrases are counted at every place where their words stand in a row.
+exactly, so a text that opens like a license and then changes a condition is not accepted. LICENSES are whole license texts (of one
+license that is too long for that, the notice that it prescribes), NOTICES are lines that name a license. Beside
+them, plain phrases are counted at every place where their words stand in a row.
 
 Defined results: a null text is empty; without any place, first_word and last_word are null, both label columns
-are empty strings and the score is 0. The score is 1 if a template was accepted, 0.5 if only plain phrases were
-found. Repeated rows each give a row, other columns are ignored.
+are empty strings and the score is 0. The score is 1 if a license's text was accepted, 0.75 if a notice was and 0.5 if only plain phrases
+were found. Repeated rows each give a row, a null doc_id stays null, an empty table gives an empty result, and other columns are ignored,
+whatever their names. A very long text is read by one task, in memory in proportion to its bytes.
 """
 
 from __future__ import annotations
@@ -27,11 +30,68 @@ PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction"),
+#: Wording of public licenses, in lower case and without punctuation, with the regions that may differ marked.
+_AS_IS = (
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+    "fitness for a particular purpose and noninfringement in no event shall the {{holders:1-6}} be liable for any claim damages or other liability whether in an action of "
+    "contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+)
+_NO_DAMAGES = (
+    "the software is provided as is and {{author:1-4}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+    "in no event shall {{author:1-4}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+    "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+)
+_BSD_CONDITIONS = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "[[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "[[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+_BSD_DISCLAIMER = (
+    "this software is provided by {{owner:1-8}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness "
+    "for a particular purpose are disclaimed in no event shall {{owner:1-8}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to "
+    "procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability "
+    "or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+LICENSES = (
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software " + _AS_IS,
+    ),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies " + _NO_DAMAGES),
+    ("0bsd", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted " + _NO_DAMAGES),
+    ("bsd-2", f"{_BSD_CONDITIONS} {_BSD_DISCLAIMER}"),
+    (
+        "bsd-3",
+        f"{_BSD_CONDITIONS} [[3]] neither the name of {{{{owner:1-8}}}} nor the names of its contributors may be used to endorse or promote products derived from this software "
+        f"without specific prior written permission {_BSD_DISCLAIMER}",
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions "
+        "[[1]] the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation "
+        "would be appreciated but is not required [[2]] altered source versions must be plainly marked as such and must not be misrepresented as being the original software "
+        "[[3]] this notice may not be removed or altered from any source distribution",
+    ),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary "
+        "for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software "
+        "to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity "
+        "of all present and future rights to this software under copyright law " + _AS_IS,
+    ),
+    (
+        "apache-2",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at {{place:1-10}} "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license",
+    ),
+)
+NOTICES = (
     ("mit", "[[this {{what:1-3}} is]] (licensed|released|distributed|available) under the [[terms of the]] mit license"),
     ("apache-2", "licensed under the apache license version 2 [[0]] [[the license]]"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("bsd", "(licensed|released|distributed) under the [[{{clauses:1-2}} clause]] bsd license"),
     ("gpl-2", "(licensed|distributed|released) under the [[terms of the]] gnu general public license [[as published by the free software foundation either]] version 2"),
     ("gpl-3", "(licensed|distributed|released) under the [[terms of the]] gnu general public license [[as published by the free software foundation either]] version 3"),
@@ -67,19 +127,6 @@ def parse(template: str) -> Tree:
     return stack[0]
 
 
-def pattern(tree: Tree) -> str:
-    """The same language as a regular expression over words that each follow one space."""
-    out = ""
-    for kind, *rest in tree:
-        if kind == "words":
-            out += " (?:" + "|".join(rest[0]) + ")"
-        elif kind == "any":
-            out += f"(?: [^ ]+){{{rest[0]},{rest[1]}}}"
-        else:
-            out += "(?:" + pattern(rest[0]) + ")?"
-    return out
-
-
 class Automaton:
     """States are numbers; `step` maps a state to words and the state that follows, `skip` to states reached without a word."""
 
@@ -136,9 +183,9 @@ class Scanner:
         self.known: dict[frozenset[int], dict[object, frozenset[int]]] = {}
         self.start = frozenset(machine.closure({0}))
         self.first = {w for s in self.start for w, _ in step[s]}
-        self.longest = len(step)  # a word leads to a later state each time
         if ANY in self.first:
             raise ValueError("a template can't begin with a replaceable region")
+        self.second = {w for word in self.first for t in self._follow(self.start, word) for w, _ in step[t]}
 
     def _follow(self, states: frozenset[int], word: int) -> frozenset[int]:
         moves = self.known.get(states)
@@ -147,13 +194,19 @@ class Scanner:
             moves = self.known[states] = {w: frozenset(self.machine.closure({to for s in states for x, to in self.step[s] if x == w or x == ANY})) for w in words | {ANY}}
         return moves.get(word) or moves[ANY]
 
-    def accepts(self, words: list[int]) -> bool:
-        """Whether some first part of words is in the template's language."""
+    def starts(self, h: np.ndarray) -> np.ndarray:
+        """Places of the first word of a template whose next word may be its second."""
+        at = np.flatnonzero(np.isin(h, np.array(sorted(self.first), np.uint64)))
+        if ANY in self.second or not len(at):
+            return at
+        return at[np.isin(np.append(h, np.uint64(0))[at + 1], np.array(sorted(self.second), np.uint64))]
+
+    def accepts(self, h: np.ndarray, at: int, end: int) -> bool:
+        """Whether some words from `at` on, before `end`, are in the template's language."""
         states = self.start
-        for word in words:
-            if self.machine.end in states or not states:
-                break
-            states = self._follow(states, word)
+        while at < end and states and self.machine.end not in states:
+            states = self._follow(states, int(h[at]))
+            at += 1
         return self.machine.end in states
 
 
@@ -165,10 +218,10 @@ def _hash_words(words: list[str]) -> dict[str, int]:
 
 
 def _compile():
-    machines = [(label, Automaton(t)) for label, t in TEMPLATES]
-    named = sorted({w for _, m in machines for s in m.step for w, _ in s if w != ANY})
+    machines = [(label, Automaton(t), score) for score, templates in ((1.0, LICENSES), (0.75, NOTICES)) for label, t in templates]
+    named = sorted({w for _, m, _ in machines for s in m.step for w, _ in s if w != ANY})
     hashes = _hash_words(named)
-    scanners = [(label, m.hashed(hashes)) for label, m in machines]
+    scanners = [(label, m.hashed(hashes), score) for label, m, score in machines]
     phrases = [(label, np.array([_hash_words([w])[w] for w in phrase.split()], np.uint64)) for phrase, label in PHRASES.items()]
     return scanners, phrases
 
@@ -199,13 +252,13 @@ def _scan(batch: pa.RecordBatch) -> pa.RecordBatch:
         for x in np.unique(r).tolist():
             base[x].add(label)
     found: list[set[str]] = [set() for _ in range(n)]
-    for label, s in scanners:
-        named = np.array(sorted(s.first), np.uint64)
-        for at in np.flatnonzero(np.isin(h, named)).tolist():
+    best = np.where(count > 0, 0.5, 0.0)
+    for label, s, score in scanners:
+        for at in s.starts(h).tolist():
             r = int(row[at])
-            if label not in found[r]:
-                if s.accepts(h[at : min(int(w.first[r + 1]), at + s.longest)].tolist()):
-                    found[r].add(label)
+            if (label not in found[r] or best[r] < score) and s.accepts(h, at, int(w.first[r + 1])):
+                found[r].add(label)
+                best[r] = max(best[r], score)
     none = count == 0
     join = lambda x: ",".join(sorted(x))
     return pa.RecordBatch.from_arrays(
@@ -217,7 +270,7 @@ def _scan(batch: pa.RecordBatch) -> pa.RecordBatch:
             pa.array(high, mask=none),
             pa.array([join(x) for x in base]),
             pa.array([join(x | y) for x, y in zip(base, found, strict=True)]),
-            pa.array([1.0 if y else 0.5 if x else 0.0 for x, y in zip(base, found, strict=True)]),
+            pa.array(best),
         ],
         names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
     )

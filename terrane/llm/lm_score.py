@@ -148,6 +148,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _log_softmax(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each row the logarithm of the share of the entry `at`. Works in place; scores beyond 80 count as 80, so no sum overflows."""
+    np.minimum(s, 80, out=s)
+    own = s[np.arange(len(s)), at]
+    np.exp(s, out=s)
+    return own - np.log(s.sum(1))
+
+
 class Model:
     """Weights, all tables of rows: context vectors, scales of the two places, and vectors with bias of classes and of their words."""
 
@@ -173,14 +181,10 @@ class Model:
         out = np.empty(len(q), np.float32)
         order = np.argsort(cls, kind="stable")
         bounds = np.searchsorted(cls[order], np.arange(self.shape[0] + 1))
-        s = q @ self.p["class"].T
-        top = s.max(1, keepdims=True)
-        out[:] = s[np.arange(len(q)), cls] - top[:, 0] - np.log(np.exp(s - top).sum(1))
+        out[:] = _log_softmax(q @ self.p["class"].T, cls)
         for c in np.flatnonzero(np.diff(bounds)):
             k = order[bounds[c] : bounds[c + 1]]
-            s = q[k] @ word[c].T
-            top = s.max(1, keepdims=True)
-            out[k] += s[np.arange(len(k)), slot[k]] - top[:, 0] - np.log(np.exp(s - top).sum(1))
+            out[k] += _log_softmax(q[k] @ word[c].T, slot[k])
         return out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,21 +97,31 @@ FROM t""",
 }
 
 
+def _regex(template: str) -> str:
+    """A template as a regular expression over words that each follow one space, straight from its markup."""
+    out = ""
+    for part in re.findall(r"\[\[|\]\]|\{\{\w+:\d+-\d+\}\}|\([^)]*\)|[^\s\[\]{}()]+", template):
+        if part[0] == "{":
+            out += "(?: [^ ]+)" + re.sub(r".*:(\d+)-(\d+).*", r"{\1,\2}", part)
+        else:
+            out += {"[[": "(?:", "]]": ")?"}.get(part, " (?:" + part.strip("()") + ")")
+    return out
+
+
 def _license_sql() -> str:
-    """Templates as regular expressions over the words, each after one space."""
-    labels = sorted({label for label, _ in license_scan.TEMPLATES})
-    patterns = {x: "|".join(f"(?:{license_scan.pattern(license_scan.parse(t))})" for label, t in license_scan.TEMPLATES if label == x) for x in labels}
-    found = ", ".join(f"CASE WHEN regexp_matches(line, '(?:{p})(?: |$)') THEN '{x}' END" for x, p in patterns.items())
+    cases = lambda templates: [(label, f"regexp_matches(line, '{_regex(t)}(?: |$)')") for label, t in templates]
+    listed = lambda templates: ", ".join(f"CASE WHEN {test} THEN '{label}' END" for label, test in cases(templates))
     places = " || ".join("list_filter(range(1, len(w) + 1), lambda i: " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split())) + ")" for phrase in license_scan.PHRASES)
     base = ", ".join(f"CASE WHEN contains(line || ' ', ' {phrase} ') THEN '{label}' END" for phrase, label in license_scan.PHRASES.items())
     joined = "array_to_string(list_sort(list_distinct(list_filter({}, lambda x: x IS NOT NULL))), ',')".format
+    some = "len(list_filter({}, lambda x: x IS NOT NULL)) > 0".format
     return rf"""
 WITH t AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 l AS (SELECT doc_id, w, CASE WHEN len(w) > 0 THEN ' ' || array_to_string(w, ' ') ELSE '' END AS line FROM t),
-p AS (SELECT doc_id, len(w)::BIGINT AS n_words, {places} AS places, [{base}] AS b, [{found}] AS f FROM l)
+p AS (SELECT doc_id, len(w)::BIGINT AS n_words, {places} AS places, [{base}] AS b, [{listed(license_scan.LICENSES)}] AS f, [{listed(license_scan.NOTICES)}] AS g FROM l)
 SELECT doc_id, n_words, len(places)::BIGINT AS n_base, (list_min(places) - 1)::BIGINT AS first_word, (list_max(places) - 1)::BIGINT AS last_word,
-       {joined("b")} AS base_labels, {joined("b || f")} AS labels,
-       CASE WHEN len(list_filter(f, lambda x: x IS NOT NULL)) > 0 THEN 1.0::DOUBLE WHEN len(places) > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score
+       {joined("b")} AS base_labels, {joined("b || f || g")} AS labels,
+       CASE WHEN {some("f")} THEN 1.0::DOUBLE WHEN {some("g")} THEN 0.75::DOUBLE WHEN len(places) > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score
 FROM p"""
 
 

@@ -123,6 +123,35 @@ def test_token_counts_of_nothing(nothing):
     assert token_count.token_count(nothing).collect() == []
 
 
+def markup(template):
+    """Nested lists: a word's alternatives, (lo, hi) of any words, or a list that may be missing."""
+    stack = [[]]
+    for part in template.replace("[[", " [[ ").replace("]]", " ]] ").split():
+        if part == "[[":
+            stack.append([])
+        elif part == "]]":
+            inner = stack.pop()
+            stack[-1].append(inner)
+        elif part.startswith("{{"):
+            stack[-1].append(tuple(map(int, part.strip("{}").split(":")[1].split("-"))))
+        else:
+            stack[-1].append(set(part.strip("()").split("|")))
+    return stack[0]
+
+
+def ends(tree, words, k):
+    """All places at which the tree can end if it begins at word k."""
+    places = {k}
+    for part in tree:
+        if isinstance(part, set):
+            places = {p + 1 for p in places if p < len(words) and words[p] in part}
+        elif isinstance(part, tuple):
+            places = {p + n for p in places for n in range(part[0], part[1] + 1) if p + n <= len(words)}
+        else:
+            places |= {e for p in places for e in ends(part, words, p)}
+    return places
+
+
 def brute_scan(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
     at, base = [], set()
@@ -131,10 +160,11 @@ def brute_scan(text):
         found = [k for k in range(len(words) - len(p) + 1) if words[k : k + len(p)] == p]
         at += found
         base |= {label} if found else set()
-    line = "".join(" " + w for w in words)
-    more = {label for label, t in license_scan.TEMPLATES if re.search(license_scan.pattern(license_scan.parse(t)) + r"(?: |$)", line)}
+    accepted = lambda templates: {label for label, t in templates if any(ends(markup(t), words, k) for k in range(len(words)))}
+    full, notices = accepted(license_scan.LICENSES), accepted(license_scan.NOTICES)
+    more = full | notices
     join = lambda x: ",".join(sorted(x))
-    return len(words), len(at), min(at, default=None), max(at, default=None), join(base), join(base | more), 1.0 if more else 0.5 if base else 0.0
+    return len(words), len(at), min(at, default=None), max(at, default=None), join(base), join(base | more), 1.0 if full else 0.75 if notices else 0.5 if base else 0.0
 
 
 def test_license_scan_matches_regular_expressions(docs_of, messy):
@@ -159,5 +189,20 @@ def test_license_scan_matches_regular_expressions(docs_of, messy):
         assert got == sorted(((r["doc_id"], *brute_scan(r["text"])) for r in docs.collect()), key=str)
 
 
+def test_whole_licenses_are_accepted_and_changed_ones_are_not(docs_of):
+    expected, texts = [], []
+    for label, template in license_scan.LICENSES:
+        with_all = re.sub(r"\[\[|\]\]", " ", re.sub(r"\{\{\w+:\d+-\d+\}\}", "Copyright-Holders", template))
+        without = re.sub(r"\[\[[^\]]*\]\]", " ", re.sub(r"\{\{\w+:\d+-\d+\}\}", "author", template))
+        words = without.split()
+        changed = [*words[: len(words) * 3 // 4], "never", *words[len(words) * 3 // 4 :]]
+        for text, ok in ((with_all.upper(), True), ("Intro. " + without + " The end.", True), (" ".join(changed), False), (" ".join(words[:-1]), False)):
+            texts.append(text)
+            expected.append((label, ok))
+    rows = license_scan.license_scan(docs_of(texts)).orderBy("doc_id").collect()
+    assert [(label in r["labels"].split(",") and r["score"] == 1, label) for r, (label, _) in zip(rows, expected)] == [(ok, label) for label, ok in expected]
+    assert [tuple(r)[1:] for r in rows] == [brute_scan(t) for t in texts]
+
+
 def test_license_scan_of_nothing(nothing):
     assert license_scan.license_scan(nothing).collect() == []
