@@ -160,7 +160,7 @@ def brute_scan(text):
         found = [k for k in range(len(words) - len(p) + 1) if words[k : k + len(p)] == p]
         at += found
         base |= {label} if found else set()
-    accepted = lambda templates: {label for label, t in templates if any(ends(markup(t), words, k) for k in range(len(words)))}
+    accepted = lambda templates: {label for label, t in templates for tree in [markup(t)] if any(ends(tree, words, k) for k in range(len(words)))}
     full, notices = accepted(license_scan.LICENSES), accepted(license_scan.NOTICES)
     more = full | notices
     join = lambda x: ",".join(sorted(x))
