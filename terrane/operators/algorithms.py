@@ -147,9 +147,12 @@ def blanket(cls: Column, h: Column, least: int = 10, top: float = 0.98, ground:
 # --- canopy metrics
 
 
+_WANTED = np.array([*PERCENTILES, 98], float)
+
+
 def canopy(relief: np.ndarray, cls: np.ndarray, height: np.ndarray, binsize: float = 1.0) -> dict:
     """Vegetation heights, their spread, cumulative-bin percentiles and the ground's median height."""
-    veg = np.sort(relief[np.isin(cls, (CANOPY, TOP_OF_CANOPY))])
+    veg = np.sort(relief[(cls == CANOPY) | (cls == TOP_OF_CANOPY)])
     soil = height[cls == GROUND]
     out = {"ground_photon_count": len(soil), "vegetation_photon_count": len(veg), "pflags": 0, "h_te_median": float(np.median(soil)) if len(soil) else math.nan}
     if not len(veg):
@@ -163,8 +166,8 @@ def canopy(relief: np.ndarray, cls: np.ndarray, height: np.ndarray, binsize: flo
         bins = 1
     place = np.clip(np.floor((veg - veg[0]) / binsize).astype(int), 0, bins - 1)
     cumulative = np.cumsum(np.bincount(place, minlength=bins))
-    at = lambda p: float(veg[cumulative[np.argmax(cumulative / len(veg) * 100 >= p)] - 1])
-    return out | {"h_max_canopy": float(veg[-1]), "h_min_canopy": float(veg[0]), "h_mean_canopy": float(veg.mean()), "canopy_openness": float(veg.std()), "h_canopy": at(98), "canopy_h_metrics": [at(p) for p in PERCENTILES]}
+    heights = veg[cumulative[np.argmax(cumulative / len(veg) * 100 >= _WANTED[:, None], axis=1)] - 1].tolist()
+    return out | {"h_max_canopy": float(veg[-1]), "h_min_canopy": float(veg[0]), "h_mean_canopy": float(veg.mean()), "canopy_openness": float(veg.std()), "h_canopy": heights[-1], "canopy_h_metrics": heights[:-1]}
 
 
 CANOPY_SCHEMA = "extent long, x_atc double, ground_photon_count int, vegetation_photon_count int, h_te_median double, h_max_canopy double, h_min_canopy double, h_mean_canopy double, canopy_openness double, h_canopy double, canopy_h_metrics array<double>, pflags int"
@@ -179,14 +182,16 @@ def canopy_metrics(df: DataFrame, track: list[str], x: str, relief: str, cls: st
     names = [c.split()[0] for c in CANOPY_SCHEMA.split(", ")]
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([x, relief], kind="stable")
-        xs = part[x].to_numpy(float)
-        rows = []
-        for k, (i, j) in enumerate(anchored_bounds(xs, length, step, one_more)):
-            w = part.iloc[i:j]
-            found = canopy(w[relief].to_numpy(float), w[cls].to_numpy(), w[height].to_numpy(float), binsize)
-            rows.append({c: w[c].iloc[0] for c in track} | found | {"extent": k, "x_atc": float(place(xs[i:j]))})
-        return pd.DataFrame(rows, columns=[*track, *names])
+        order = np.lexsort((part[relief].to_numpy(float), part[x].to_numpy(float)))
+        xs, reliefs, heights = (part[c].to_numpy(float)[order] for c in (x, relief, height))
+        classes = part[cls].to_numpy()[order]
+        bounds = list(anchored_bounds(xs, length, step, one_more))
+        found = [canopy(reliefs[i:j], classes[i:j], heights[i:j], binsize) for i, j in bounds]
+        out = pd.DataFrame(found, columns=[n for n in names if n not in ("extent", "x_atc")])
+        out["extent"], out["x_atc"] = range(len(bounds)), [float(place(xs[i:j])) for i, j in bounds]
+        for c in track:
+            out[c] = part[c].iloc[0]
+        return out[[*track, *names]]
 
     return df.groupBy(*track).applyInPandas(run, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", " + CANOPY_SCHEMA)
 
@@ -231,11 +236,17 @@ def refraction(theta: Column, depth: Column, n1: float = 1.00029, n2: float = 1.
 
 def refracted(df: DataFrame, height: str, surface: str, elevation: str, azimuth: str, cls: str, surface_class: int, n1: float = 1.00029, n2: float = 1.34116) -> DataFrame:
     """df with dz, de, dn: shifts of rows below the water surface, 0 for all others."""
-    depth = F.col(surface) - F.col(height)
-    under = (depth > 0) & (F.col(cls) != surface_class)
-    dz, dy = refraction(math.pi / 2 - F.col(elevation), depth, n1, n2)
-    zero = F.lit(0.0)
-    return df.withColumns({"dz": F.when(under, dz).otherwise(zero), "de": F.when(under, dy * F.sin(azimuth)).otherwise(zero), "dn": F.when(under, dy * F.cos(azimuth)).otherwise(zero)})
+    # each step is a column of its own, so no expression is worked out more than once
+    names = ("_depth", "_theta", "_turn", "_s", "_r", "_p", "_beta")
+    col = F.col
+    out = df.withColumn("_depth", col(surface) - col(height)).withColumn("_theta", math.pi / 2 - col(elevation))
+    out = out.withColumn("_turn", col("_theta") - F.asin(F.lit(n1) * F.sin("_theta") / n2)).withColumn("_s", col("_depth") / F.cos("_theta"))
+    out = out.withColumn("_r", col("_s") * (n1 / n2)).withColumn("_p", F.sqrt(col("_r") * col("_r") + col("_s") * col("_s") - 2 * col("_r") * col("_s") * F.cos("_turn")))
+    alpha = F.asin(F.when(col("_p") == 0, 0.0).otherwise(F.try_divide(col("_r") * F.sin("_turn"), col("_p"))))
+    out = out.withColumn("_beta", math.pi / 2 - col("_theta") - alpha)
+    under = (col("_depth") > 0) & (col(cls) != surface_class)
+    dz, dy, zero = col("_p") * F.sin("_beta"), col("_p") * F.cos("_beta"), F.lit(0.0)
+    return out.withColumns({"dz": F.when(under, dz).otherwise(zero), "de": F.when(under, dy * F.sin(azimuth)).otherwise(zero), "dn": F.when(under, dy * F.cos(azimuth)).otherwise(zero)}).drop(*names)
 
 
 def row_flags(score: Column, boundary: Column, night: Column) -> Column:

@@ -12,6 +12,7 @@ from terrane.functions import text
 from terrane.operators import aggregates, algorithms, extents, filters, raster
 from terrane.plans.request import Request, defaults
 from terrane.sources import products, readers, sinks
+from terrane.sources.scratch import table
 
 VERSION = "0.1.0"
 
@@ -72,18 +73,27 @@ def _subset(df: DataFrame, p: products.Product, r: Request) -> DataFrame:
     return df
 
 
+def _needed(df: DataFrame, option: str, *columns: str) -> None:
+    """A filter that was asked for is never left out because its column is missing."""
+    if missing := [c for c in columns if c not in df.columns]:
+        raise ValueError(f"{option} needs the columns {missing}, which the staged product doesn't have")
+
+
 def _photon_filters(df: DataFrame, r: Request) -> DataFrame:
     df = df.where(F.col("gt").isin(r.beams) & F.col("spot").isin(r.spots))
     df = df.where(F.col("atl03_cnf").isin(r.cnf) & F.col("quality_ph").isin(r.quality_ph))
-    if r.podppd and "podppd_flag" in df.columns:
+    if r.podppd:
+        _needed(df, "podppd", "podppd_flag")
         df = df.where(text.bit_set(F.col("podppd_flag"), r.podppd))
     if r.atl08_class is not None:
+        _needed(df, "atl08_class", "atl08_class")
         df = df.where(F.col("atl08_class").isin(r.atl08_class))
     if r.yapc:
         if r.yapc.get("version", 0) == 3 or "yapc_score" not in df.columns:
             df = algorithms.density_score(df, ["granule", "gt"], "segment_id", "x_atc", "height", ["time_ns"], r.yapc.get("win_x", 15.0), r.yapc.get("win_h", 6.0), r.yapc.get("min_knn", 5)).withColumn("yapc_score", F.col("score")).drop("score")
         df = df.where(F.col("yapc_score") >= r.yapc.get("score", 0))
-    if r.atl24 and "atl24_class" in df.columns:
+    if r.atl24:
+        _needed(df, "atl24", "atl24_class", "atl24_confidence")
         df = df.where(F.col("atl24_class").isin(r.atl24.get("class_ph", [40])) & (F.col("atl24_confidence") >= r.atl24.get("confidence_threshold", 0.0)))
     return df
 
@@ -113,7 +123,8 @@ def _photon_algorithm(df: DataFrame, r: Request, api: str) -> DataFrame:
 def _product_filters(df: DataFrame, name: str, r: Request) -> DataFrame:
     if name == "vegetation":
         for column, least in (("te_quality_score", r.te_quality_filter), ("can_quality_score", r.can_quality_filter)):
-            if least is not None and column in df.columns:
+            if least is not None:
+                _needed(df, column.replace("_score", "_filter"), column)
                 df = df.where(F.col(column) >= least)
     if name.startswith("waveforms"):
         mask = 0x01 * r.degrade_filter | 0x02 * r.l2_quality_filter | 0x04 * r.l4_quality_filter | 0x80 * r.surface_filter
@@ -129,7 +140,8 @@ def _product_filters(df: DataFrame, name: str, r: Request) -> DataFrame:
         df = df.where(F.col("class_ph").isin(r.atl24.get("class_ph", [40])) & (F.col("confidence") >= r.atl24.get("confidence_threshold", 0.0)))
         for column in ("invalid_kd", "invalid_wind_speed", "low_confidence_flag", "night_flag", "sensor_depth_exceeded"):
             wanted = r.atl24.get(column.removesuffix("_flag"))
-            if wanted is not None and column in df.columns:
+            if wanted is not None:
+                _needed(df, "atl24", column)
                 df = df.where(F.col(column).isin(wanted))
     return df
 
@@ -141,8 +153,25 @@ def _refuse_unsupported(r: Request) -> None:
     if r.yapc and r.yapc.get("version", 0) not in (0, 3):
         raise ValueError(f"yapc version {r.yapc['version']} is not supported")
     for key, s in (r.samples or {}).items():
-        if other := {k for k, v in s.items() if k != "asset" and (k, v) != ("algorithm", "NearestNeighbour")}:
-            raise ValueError(f"samples {key!r}: {sorted(other)} not supported; rasters are sampled at the nearest pixel")
+        _sampling(key, s)
+
+
+#: Sampling options and the values that change nothing.
+SAMPLING = {"asset": None, "algorithm": "NearestNeighbour", "radius": 0.0, "zonal_stats": False, "slope_aspect": False, "slope_scale_length": 0.0, "with_flags": False}
+#: Names of sampling algorithms in requests and of the kernels that carry them out.
+ALGORITHMS = {"NearestNeighbour": None, "Bilinear": "bilinear", "Cubic": "cubic", "CubicSpline": "cubicspline", "Lanczos": "lanczos", "Average": "average", "Mode": "mode", "Gauss": "gauss"}
+
+
+def _sampling(key: str, s: dict) -> dict:
+    """The options of a sampling request with their defaults; unknown ones are errors."""
+    o = SAMPLING | s
+    if other := {k for k in s if k not in SAMPLING}:
+        raise ValueError(f"samples {key!r}: {sorted(other)} not supported")
+    if o["algorithm"] not in ALGORITHMS:
+        raise ValueError(f"samples {key!r}: algorithm {o['algorithm']!r} is not one of {sorted(ALGORITHMS)}")
+    if o["zonal_stats"] and o["radius"] <= 0:
+        raise ValueError(f"samples {key!r}: zonal_stats needs a radius")
+    return o
 
 
 def run(spark: SparkSession, api: str, parms: dict, aoi=None, resources: list[str] | None = None, root: str = ".") -> Frame:
@@ -171,11 +200,37 @@ def run(spark: SparkSession, api: str, parms: dict, aoi=None, resources: list[st
 
 
 def sample(spark: SparkSession, df: DataFrame, path: str, key: str, s: dict, p: products.Product) -> DataFrame:
-    """df with the value of a staged raster at each row; a raster is a folder of pixels (row, col, value) and a row of geometry (x0, y0, dx, dy)."""
+    """df with samples of a staged raster at each row, in columns that begin with key.
+
+    A raster is a folder of pixels (row, col, value), a row of geometry (x0, y0, dx, dy) and, for with_flags, pixels of flags. value is the nearest pixel or
+    what the algorithm makes of those around; zonal_stats adds count, min, max, mean, median, stdev and mad of the disc of the
+    radius, slope_aspect adds slope, aspect and the number of pixels, with_flags adds flags. Rows outside have nulls. radius and pixels have one unit.
+    """
+    o = _sampling(key, s)
     g = spark.read.parquet(f"{path}/geometry").first()
     pixels = spark.read.parquet(f"{path}/pixels").select("row", "col", "value")
-    at = raster.pixel_of(df, p.x, p.y, g["x0"], g["y0"], g["dx"], g["dy"])
-    return at.join(pixels.withColumnRenamed("value", f"{key}.value"), ["row", "col"], "left").drop("row", "col")
+    row_id, x, y = f"_{key}_id", F.col(p.x), F.col(p.y)
+    at = raster.pixel_of(df.withColumn(row_id, F.monotonically_increasing_id()), p.x, p.y, g["x0"], g["y0"], g["dx"], g["dy"])
+    kind = ALGORITHMS[o["algorithm"]]
+    if kind or o["zonal_stats"] or o["slope_aspect"]:
+        at = table(at)  # row numbers that several joins agree on
+    places = at.select(F.col(row_id).alias("id"), "row", "col", ((g["y0"] - y) / g["dy"]).alias("fr"), ((x - g["x0"]) / g["dx"]).alias("fc"))
+    cells = lambda length: raster.radius_in_pixels(length, g["dx"], g["dy"]) if length > 0 else 0
+    found = []
+    if kind:
+        found.append(raster.resample(places, pixels, ["id"], kind, cells(o["radius"])).drop("resampled"))
+    if o["zonal_stats"]:
+        found.append(raster.zonal(places, pixels, ["id"], cells(o["radius"])))
+    if o["slope_aspect"]:
+        found.append(raster.slope_aspect(places, pixels, ["id"], float(max(g["dx"], g["dy"])), o["slope_scale_length"]).withColumnRenamed("count", "slope_count"))
+    out = at if kind else at.join(pixels.withColumnRenamed("value", f"{key}.value"), ["row", "col"], "left")
+    if o["with_flags"]:
+        flags = spark.read.parquet(f"{path}/flags").select("row", "col", F.col("value").cast("int").alias(f"{key}.flags"))
+        out = out.join(flags, ["row", "col"], "left").withColumn(f"{key}.flags", F.coalesce(F.col(f"`{key}.flags`"), F.lit(0)))
+    for part in found:
+        names = [c for c in part.columns if c != "id"]
+        out = out.join(part.select(F.col("id").alias(row_id), *[F.col(c).alias(f"{key}.{c}") for c in names]), row_id, "left")
+    return out.drop("row", "col", row_id)
 
 
 def describe(api: str) -> dict:
@@ -199,6 +254,6 @@ class Client:
             raise AttributeError(api)
         return lambda parms=None, aoi=None, resources=None: run(self.spark, api, parms or {}, aoi, resources, self.root)
 
-    def sample(self, points: DataFrame, asset: str, x: str = "longitude", y: str = "latitude", key: str = "value") -> DataFrame:
-        """points with the value of a staged raster."""
-        return sample(self.spark, points, f"{self.root}/rasters/{asset}", key, {}, products.Product("points", "", x=x, y=y))
+    def sample(self, points: DataFrame, asset: str, x: str = "longitude", y: str = "latitude", key: str = "value", **options) -> DataFrame:
+        """points with samples of a staged raster; options as in a request's samples."""
+        return sample(self.spark, points, f"{self.root}/rasters/{asset}", key, options, products.Product("points", "", x=x, y=y))

@@ -17,7 +17,9 @@ WATER_CLASSES = {"unclassified": 0, "bathymetry": 40, "sea_surface": 41}
 BEAMS = {"gt1l": 10, "gt1r": 20, "gt2l": 30, "gt2r": 40, "gt3l": 50, "gt3r": 60}
 FOOTPRINT_BEAMS = (0, 1, 2, 3, 5, 6, 8, 11)
 #: Accepted and without effect here: the cluster manages time-outs, nodes and credentials itself.
-IGNORED = {"timeout", "rqst_timeout", "node_timeout", "read_timeout", "cluster_size_hint", "key_space", "asset", "resource", "points_in_polygon", "datum", "proj"}
+IGNORED = {"timeout", "rqst_timeout", "node_timeout", "read_timeout", "cluster_size_hint", "key_space", "asset", "resource"}
+#: Options that no plan carries out; each is an error unless it has the value that changes nothing.
+UNSUPPORTED = {"points_in_polygon": 0, "datum": "ITRF2014", "proj": "auto"}
 
 
 def member(value: str | int, table: dict[str, int], prefix: str = "") -> int:
@@ -80,7 +82,10 @@ class Request:
     @classmethod
     def parse(cls, parms: dict) -> Request:
         known = {f.name for f in fields(cls)}
-        given = {k: v for k, v in parms.items() if k not in IGNORED}
+        for k, v in UNSUPPORTED.items():
+            if parms.get(k, v) != v:
+                raise ValueError(f"{k} = {parms[k]!r} is not supported")
+        given = {k: v for k, v in parms.items() if k not in IGNORED and k not in UNSUPPORTED}
         if "resource" in parms and "resources" not in given:
             given["resources"] = [parms["resource"]]
         if "track" in given:  # overrides beams; 0 means all

@@ -417,7 +417,40 @@ def test_client(spark, tmp_path):
     assert rows(client.sample(pts, "dem").select("id", "`value.value`")) == [(1, 4.0), (2, None)]
 
 
-@pytest.mark.parametrize("api_name, parms", [("bathyx", {}), ("bathyv", {}), ("atl03x", {"srt": 1}), ("atl03x", {"yapc": {"version": 2}}), ("atl03x", {"samples": {"z": {"asset": "a", "zonal_stats": True}}}), ("atl03x", {"samples": {"z": {"asset": "a", "algorithm": "Bilinear"}}})])
+def test_sampling_options(spark, tmp_path):
+    where = str(tmp_path / "rasters/dem")
+    spark.createDataFrame([(0.0, 3.0, 1.0, 1.0)], "x0 double, y0 double, dx double, dy double").write.parquet(f"{where}/geometry")
+    raster.from_grid(spark, [[1.0, 2.0, 3.0], [4.0, 5.0, 6.0], [7.0, 8.0, 9.0]]).write.parquet(f"{where}/pixels")
+    raster.from_grid(spark, [[0.0, 0.0, 0.0], [0.0, 5.0, 0.0], [0.0, 0.0, 0.0]]).write.parquet(f"{where}/flags")
+    pts = spark.createDataFrame([(1, 1.5, 1.5), (2, 50.0, 50.0), (3, 0.5, 2.5)], "id int, longitude double, latitude double")
+    client = api.Client(spark, str(tmp_path))
+    out = client.sample(pts, "dem", key="z", zonal_stats=True, radius=1.0, slope_aspect=True, with_flags=True)
+    got = {r["id"]: r.asDict() for r in out.collect()}
+    assert [got[i]["z.value"] for i in (1, 2, 3)] == [5.0, None, 1.0] and [got[i]["z.flags"] for i in (1, 2, 3)] == [5, 0, 0]
+    middle = got[1]
+    assert [middle[f"z.{c}"] for c in ("count", "min", "max", "mean", "median", "slope_count")] == [5, 2.0, 8.0, 5.0, 5.0, 9]
+    assert middle["z.stdev"] == pytest.approx(2.0) and middle["z.mad"] == pytest.approx(1.6)
+    # the plane rises by 1 a column and by 3 a row
+    assert middle["z.slope"] == pytest.approx(math.degrees(math.atan(math.hypot(1, 3))))
+    assert (got[3]["z.count"], got[2]["z.count"]) == (3, None)
+    between = spark.createDataFrame([(1, 1.5, 1.5), (2, 1.25, 1.5)], "id int, longitude double, latitude double")
+    assert rows(client.sample(between, "dem", key="z", algorithm="Bilinear").select("id", "`z.value`")) == [(1, 5.0), (2, 4.75)]
+    for options in ({"algorithm": "Nothing"}, {"zonal_stats": True}, {"closest_time": "2020-01-01"}):
+        with pytest.raises(ValueError):
+            client.sample(pts, "dem", **options)
+
+
+def test_filters_on_columns_that_are_missing_are_errors(spark, tmp_path):
+    photons(spark, tmp_path)
+    for parms in ({"podppd": 1}, {"atl24": {}} | {"atl24": {"class_ph": [40]}}):
+        with pytest.raises(ValueError, match="needs the columns"):
+            api.run(spark, "atl03x", parms, root=str(tmp_path))
+    for parms in ({"proj": "EPSG:3857"}, {"datum": "EGM08"}, {"points_in_polygon": 3}):
+        with pytest.raises(ValueError, match="not supported"):
+            api.run(spark, "atl03x", parms, root=str(tmp_path))
+
+
+@pytest.mark.parametrize("api_name, parms", [("bathyx", {}), ("bathyv", {}), ("atl03x", {"srt": 1}), ("atl03x", {"yapc": {"version": 2}}), ("atl03x", {"samples": {"z": {"asset": "a", "closest_time": "2020-01-01"}}})])
 def test_what_no_plan_carries_out_is_refused(spark, api_name, parms):
     with pytest.raises(ValueError, match="unknown request type|supported"):
         api.run(spark, api_name, parms)
