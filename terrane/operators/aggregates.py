@@ -75,8 +75,9 @@ def _ranked(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
 
 
 def dedup(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
-    """The first row, by order, of each combination of columns (all, if none are named)."""
-    return _ranked(df, columns or df.columns, order).where("_rank = 1").drop("_rank")
+    """The first row, by order, of each combination of columns (all, if none are named). Rows are combined before the shuffle, so a frequent combination is no burden."""
+    first = df.select(F.struct("*").alias("_row"), *[F.col(c) for c in columns or df.columns]).groupBy(*(columns or df.columns))
+    return first.agg(F.min_by("_row", F.struct(*[F.col("_row")[c] for c in order])).alias("_row")).select("_row.*")
 
 
 def dedup_report(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +39,10 @@ def flags_clear(flags: Column, mask: int) -> Column:
     return flags.bitwiseAND(mask) == 0
 
 
+#: A mask is made on the driver, so its size is bounded.
+MOST_CELLS = 4_000_000
+
+
 def polygon(df: DataFrame, lon: str, lat: str, ring: geo.Ring) -> DataFrame:
     return df.where(geo.in_polygon(F.col(lon), F.col(lat), ring))
 
@@ -66,14 +71,14 @@ def rasterise(ring: geo.Ring, size: float) -> tuple[list[tuple[int, int]], float
     lon0, lat0, lon1, lat1 = min(lons), min(lats), max(lons), max(lats)
     rows, cols = int((lat1 - lat0) / size) + 1, int((lon1 - lon0) / size) + 1
 
-    def inside(x: float, y: float) -> bool:
-        hit = False
-        for (xi, yi), (xj, yj) in zip(ring, [*ring[-1:], *ring[:-1]], strict=True):
-            if (yi > y) != (yj > y) and x < (xj - xi) * (y - yi) / (yj - yi) + xi:
-                hit = not hit
-        return hit
-
-    on = [(r, c) for r in range(rows) for c in range(cols) if inside(lon0 + (c + 0.5) * size, lat1 - (r + 0.5) * size)]
+    if rows * cols > MOST_CELLS:
+        raise ValueError(f"a mask of {rows} x {cols} cells is too fine; {MOST_CELLS} cells are the most")
+    x, y = lon0 + (np.arange(cols) + 0.5) * size, lat1 - (np.arange(rows)[:, None] + 0.5) * size
+    hit = np.zeros((rows, cols), bool)
+    for (xi, yi), (xj, yj) in zip(ring, [*ring[-1:], *ring[:-1]], strict=True):
+        if yi != yj:
+            hit ^= ((yi > y) != (yj > y)) & (x < (xj - xi) * (y - yi) / (yj - yi) + xi)
+    on = [(r, c) for r, c in np.argwhere(hit).tolist()]
     return on, lon0, lat0, lon1, lat1
 
 

@@ -6,7 +6,6 @@ Every function takes a DataFrame, streaming or not, and returns one, so a stream
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from terrane.sources import scratch
+
 
 def unpack(df: DataFrame, records: str) -> DataFrame:
     """A row for each record of a container column; the container's other columns stay beside it."""
@@ -123,9 +124,8 @@ def distinct_within(df: DataFrame, time: str, columns: list[str], late: str) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; a temporary one where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terrane-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder in the one all executors share."""
+    return f"{scratch.shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
