@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 SPEED_OF_LIGHT = 299792458.0
 PULSE_RATE = 10000.0
@@ -244,7 +245,8 @@ def refracted(df: DataFrame, height: str, surface: str, elevation: str, azimuth:
     out = out.withColumn("_r", col("_s") * (n1 / n2)).withColumn("_p", F.sqrt(col("_r") * col("_r") + col("_s") * col("_s") - 2 * col("_r") * col("_s") * F.cos("_turn")))
     alpha = F.asin(F.when(col("_p") == 0, 0.0).otherwise(F.try_divide(col("_r") * F.sin("_turn"), col("_p"))))
     out = out.withColumn("_beta", math.pi / 2 - col("_theta") - alpha)
-    under = (col("_depth") > 0) & (col(cls) != surface_class)
+    # NaN is greater than any number; without a surface nothing is shifted
+    under = (col("_depth") > 0) & ~F.isnan("_depth") & (col(cls) != surface_class)
     dz, dy, zero = col("_p") * F.sin("_beta"), col("_p") * F.cos("_beta"), F.lit(0.0)
     return out.withColumns({"dz": F.when(under, dz).otherwise(zero), "de": F.when(under, dy * F.sin(azimuth)).otherwise(zero), "dn": F.when(under, dy * F.cos(azimuth)).otherwise(zero)}).drop(*names)
 
@@ -295,6 +297,19 @@ def sea_surface(df: DataFrame, track: list[str], order: list[str], h: str, t: st
     return fixed_count(df, track, order, chunk).groupBy(*track, "extent").applyInPandas(run, schema)
 
 
+def with_sea_surface(df: DataFrame, track: list[str], order: list[str], h: str, seconds: str, rate: str, chunk: int = 8192, **options) -> DataFrame:
+    """df with `surface_h`, the height of the water surface in each row's chunk; a task holds one chunk at a time."""
+    from terrane.operators.extents import fixed_count
+
+    @pandas_udf("double")
+    def surface(hs: pd.Series, ts: pd.Series, rates: pd.Series) -> float:
+        return water_surface(hs.to_numpy(float), ts.to_numpy(float), rates.to_numpy(float), **options)
+
+    # the chunks of a track are where the track is, so rows are shuffled once
+    found = surface(h, seconds, rate).over(Window.partitionBy(*track, "extent"))
+    return fixed_count(df, track, order, chunk).withColumn("surface_h", F.coalesce(found, F.lit(float("nan")))).drop("extent")
+
+
 def signal_strength(x: np.ndarray, h: np.ndarray, width: float = 20.0, step: float = 10.0, binsize: float = 0.2, shift: float = 0.1) -> np.ndarray:
     """Score 0 to 255 of each row: how far its height bin stands above the background, the largest over overlapping windows and bin offsets."""
     score = np.zeros(len(x))

@@ -65,6 +65,16 @@ def region_mask(df: DataFrame, lon: str, lat: str, on: list[tuple[int, int]], lo
     return keyed.join(F.broadcast(cells) if len(on) < 1_000_000 else cells, ["mask_row", "mask_col"], "left_semi").drop("mask_row", "mask_col")
 
 
+def in_region_mask(df: DataFrame, lon: str, lat: str, on: list[tuple[int, int]], lon_min: float, lat_min: float, lon_max: float, lat_max: float, size: float, name: str) -> DataFrame:
+    """df with a boolean column `name`: whether a row is in a cell that is on. Rows without a place are not."""
+    cells = df.sparkSession.createDataFrame(on, "mask_row int, mask_col int").withColumn(name, F.lit(True))
+    within = F.col(lon).between(lon_min, lon_max) & F.col(lat).between(lat_min, lat_max)
+    row, col = F.floor((lat_max - F.col(lat)) / size).cast("int"), F.floor((F.col(lon) - lon_min) / size).cast("int")
+    keyed = df.withColumn("mask_row", F.when(within, row)).withColumn("mask_col", F.when(within, col))
+    found = keyed.join(F.broadcast(cells) if len(on) < 1_000_000 else cells, ["mask_row", "mask_col"], "left")
+    return found.withColumn(name, F.coalesce(name, F.lit(False))).drop("mask_row", "mask_col")
+
+
 def rasterise(ring: geo.Ring, size: float) -> tuple[list[tuple[int, int]], float, float, float, float]:
     """Cells of a polygon's bounding box whose centre is inside, and the box."""
     lons, lats = [p[0] for p in ring], [p[1] for p in ring]

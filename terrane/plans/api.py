@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terrane import __doc__ as _about
 from terrane.functions import text
 from terrane.operators import aggregates, algorithms, extents, filters, raster
-from terrane.plans.request import Request, defaults
+from terrane.plans.request import CONFIDENCE, WATER_CLASSES, Request, defaults
 from terrane.sources import products, readers, sinks
 from terrane.sources.scratch import table
 
@@ -41,7 +41,7 @@ ENDPOINTS = {
     "atl06": "photons", "atl06p": "photons", "atl08": "photons", "atl08p": "photons",
     "atl06x": "land_ice", "atl06s": "land_ice", "atl06sp": "land_ice",
     "atl08x": "vegetation", "atl13x": "inland_water", "atl13s": "inland_water", "atl13sp": "inland_water",
-    "atl24x": "bathymetry",
+    "atl24x": "bathymetry", "bathyx": "photons", "bathyv": "photons",
     "gedi01b": "waveforms_l1b", "gedi01bp": "waveforms_l1b", "gedi01bx": "waveforms_l1b",
     "gedi02a": "waveforms_l2a", "gedi02ap": "waveforms_l2a", "gedi02ax": "waveforms_l2a",
     "gedi04a": "waveforms_l4a", "gedi04ap": "waveforms_l4a", "gedi04ax": "waveforms_l4a",
@@ -120,6 +120,48 @@ def _photon_algorithm(df: DataFrame, r: Request, api: str) -> DataFrame:
     return df
 
 
+#: Options of the water surface and of refraction: names in requests and of the kernels' parameters.
+SURFACE = {"bin_size": "binsize", "max_range": "max_range", "max_bins": "max_bins", "signal_threshold": "threshold", "min_peak_separation": "separation", "highest_peak_ratio": "ratio"}
+REFRACTION = {"ri_air": "n1", "ri_water": "n2"}
+#: Known options with the only value that a plan carries out.
+FIXED = {"model_as_poisson": True, "use_water_ri_mask": False}
+SURFACE_UNDETECTED = 0x4
+MOST_IN_SEGMENT = 100_000
+
+
+def _named(option: str, given: dict | None, names: dict[str, str]) -> dict:
+    """Parameters of a kernel from an option of a request."""
+    for k, v in (given or {}).items():
+        if k not in names and FIXED.get(k) != v:
+            raise ValueError(f"{option}: {k} = {v!r} is not supported")
+    return {names[k]: v for k, v in (given or {}).items() if k in names}
+
+
+def _bathymetry(df: DataFrame, r: Request) -> DataFrame:
+    """Photons near the ground model and the geoid, with the water surface and heights corrected for refraction.
+
+    surface_h is the surface in chunks of ph_in_extent rows, NaN with a bit of processing_flags where none was found. Photons below
+    it are shifted by dz, de (east) and dn (north) in metres; ortho_h has dz in it, geoid_corr_h has not. class_ph is the staged class, or 0.
+    """
+    surface, refraction = _named("surface", r.surface, SURFACE), _named("refraction", r.refraction, REFRACTION)
+    _needed(df, "bathyx", "geoid_corr_h", "dem_h", "ref_el", "ref_az")
+    df = df.where((F.col("height") - F.col("dem_h")).between(r.min_dem_delta, r.max_dem_delta) & F.col("geoid_corr_h").between(r.min_geoid_delta, r.max_geoid_delta))
+    df = df.withColumn("class_ph", F.coalesce("atl24_class", F.lit(0)).cast("int") if "atl24_class" in df.columns else F.lit(0)).withColumn("_seconds", F.col("time_ns") / 1e9)
+    df = algorithms.with_sea_surface(df, ["granule", "gt"], ["time_ns", "ph_index"], "geoid_corr_h", "_seconds", "background_rate", r.ph_in_extent, **surface).drop("_seconds")
+    df = algorithms.refracted(df, "geoid_corr_h", "surface_h", "ref_el", "ref_az", "class_ph", WATER_CLASSES["sea_surface"], **refraction)
+    return df.withColumns({"ortho_h": F.col("geoid_corr_h") + F.col("dz"), "processing_flags": F.when(F.isnan("surface_h"), SURFACE_UNDETECTED).otherwise(0)})
+
+
+def _in_mask(df: DataFrame, r: Request) -> DataFrame:
+    """Photons and segments of each track, all and inside the region mask; a segment is where its first photon is."""
+    if r.region_mask is None:
+        raise ValueError("bathyv needs a region_mask")
+    first = F.min_by(F.struct("longitude", "latitude"), F.struct("time_ns", "ph_index"))
+    segments = df.groupBy("granule", "gt", "segment_id").agg(F.count("*").alias("n"), first.alias("at")).select("granule", "gt", "n", "at.longitude", "at.latitude")
+    on, *box = filters.rasterise(readers.region(r.region_mask), r.cellsize)
+    return aggregates.masked_counts(filters.in_region_mask(segments, "longitude", "latitude", on, *box, r.cellsize, "inside"), ["granule", "gt"], "n", F.col("inside"), MOST_IN_SEGMENT)
+
+
 def _product_filters(df: DataFrame, name: str, r: Request) -> DataFrame:
     if name == "vegetation":
         for column, least in (("te_quality_score", r.te_quality_filter), ("can_quality_score", r.can_quality_filter)):
@@ -179,17 +221,21 @@ def run(spark: SparkSession, api: str, parms: dict, aoi=None, resources: list[st
     if api not in ENDPOINTS:
         raise ValueError(f"unknown request type {api!r}")
     given = dict(parms) | ({"poly": aoi} if aoi is not None else {}) | ({"resources": resources} if resources is not None else {})
+    if api == "bathyx":
+        given.setdefault("cnf", sorted(CONFIDENCE.values()))  # the surface is found among all photons
     r, name = Request.parse(given), ENDPOINTS[api]
     _refuse_unsupported(r)
     p = products.PRODUCTS[name]
     df = spark.read.parquet(f"{root}/{name}")
-    df = _subset(df, p, r)
+    df = _subset(df, p, replace(r, region_mask=None) if api == "bathyv" else r)
     df = _product_filters(df, name, r)
     if name == "photons":
         if api == "indexer":
             return Frame(aggregates.resource_index(df, "granule", "time_ns", "time_ns", "longitude", "latitude"), {"api": api})
+        if api == "bathyv":
+            return Frame(_in_mask(df, r), {"api": api})
         df = _photon_filters(df, r)
-        df = _photon_algorithm(df, r, api)
+        df = _bathymetry(df, r) if api == "bathyx" else _photon_algorithm(df, r, api)
     for key, s in (r.samples or {}).items():
         df = sample(spark, df, f"{root}/rasters/{s['asset']}", key, s, p)
     frame = Frame(df, {"api": api, "request": given})

@@ -74,6 +74,13 @@ class Request:
     l2_quality_filter: bool = False
     l4_quality_filter: bool = False
     surface_filter: bool = False
+    ph_in_extent: int = 8192
+    surface: dict | None = None
+    refraction: dict | None = None
+    max_dem_delta: float = 50.0
+    min_dem_delta: float = -100.0
+    max_geoid_delta: float = 50.0
+    min_geoid_delta: float = -100.0
     anc_fields: list[str] = field(default_factory=list)
     samples: dict | None = None
     subsetting: str = "contiguous"
@@ -111,6 +118,8 @@ class Request:
             r.beams = [member(b, BEAMS) for b in r.beams]
         if r.len <= 0 or r.res <= 0:
             raise ValueError("len and res must be positive")
+        if r.ph_in_extent < 1:
+            raise ValueError("ph_in_extent must be positive")
         if r.resources is not None and len(r.resources) > r.max_resources:
             raise ValueError(f"more than {r.max_resources} resources")
         return r

@@ -36,7 +36,7 @@ class Product:
 PRODUCTS = {
     p.name: p
     for p in (
-        Product("photons", "time_ns long, latitude double, longitude double, segment_id int, x_atc double, y_atc float, height float, solar_elevation float, background_rate double, spacecraft_velocity float, atl03_cnf tinyint, quality_ph tinyint, ph_index long", optional="atl08_class tinyint, relief float, yapc_score tinyint, atl24_class tinyint, atl24_confidence float"),
+        Product("photons", "time_ns long, latitude double, longitude double, segment_id int, x_atc double, y_atc float, height float, solar_elevation float, background_rate double, spacecraft_velocity float, atl03_cnf tinyint, quality_ph tinyint, ph_index long", optional="atl08_class tinyint, relief float, yapc_score tinyint, atl24_class tinyint, atl24_confidence float, geoid_corr_h float, dem_h float, ref_el float, ref_az float"),
         Product("land_ice", "time_ns long, latitude double, longitude double, segment_id int, h_li float, h_li_sigma float, atl06_quality_summary tinyint, x_atc double, y_atc float, dh_fit_dx float, n_fit_photons int, rms_misfit float, seg_azimuth float, sigma_geo_h float, w_surface_window_final float, bsnow_conf tinyint, bsnow_h float, r_eff float, tide_ocean float"),
         Product("vegetation", "time_ns long, latitude double, longitude double, segment_id_beg int, segment_landcover tinyint, segment_snowcover tinyint, n_seg_ph int, solar_elevation float, terrain_slope float, n_te_photons int, h_te_uncertainty float, h_te_median float, h_canopy float, h_canopy_uncertainty float, segment_cover short, n_ca_photons int, h_max_canopy float, h_min_canopy float, h_mean_canopy float, canopy_openness float, canopy_h_metrics array<float>"),
         Product("inland_water", "time_ns long, latitude double, longitude double, segment_id_beg int, ht_ortho float, ht_water_surf float, stdev_water_surf float, water_depth float, refid long"),

@@ -332,6 +332,51 @@ def test_run_answers_requests(spark, tmp_path):
         api.run(spark, "nothing", {}, root=root)
 
 
+def test_bathymetry_requests(spark, tmp_path):
+    photons(spark, tmp_path)
+    staged = spark.read.parquet(f"{tmp_path}/photons")
+    # 800 photons a track: odd ones at the water surface, even ones 0 to 9 m below it; the last 200 are noise
+    k = F.col("ph_index")
+    bottom = -(k % 9).cast("double") - 1
+    h = F.when(k >= 600, (k * 37 % 200).cast("double") / 2 - 60).when(k % 2 == 1, 0.1).otherwise(bottom)
+    wet = staged.withColumns({"geoid_corr_h": h, "dem_h": F.col("height") - F.when(k == 0, 60.0).otherwise(1.0), "ref_el": F.lit(1.4), "ref_az": F.lit(0.5), "background_rate": F.when(k >= 600, 1e8).otherwise(100.0), "time_ns": k * 100_000})
+    wet.write.parquet(f"{tmp_path}/wet/photons")
+    root = f"{tmp_path}/wet"
+    rows = api.run(spark, "bathyx", {"ph_in_extent": 200, "min_geoid_delta": -70.0}, root=root).df.toPandas()
+    assert len(rows) == 2 * 799 and not rows["ph_index"].eq(0).any()
+    # chunks are counted after the filter, so each begins a row later
+    low = rows[rows.ph_index > 600]
+    assert low.surface_h.isna().all() and (low.processing_flags == 4).all() and (low.dz == 0).all() and (low.ortho_h == low.geoid_corr_h).all()
+    top = rows[rows.ph_index <= 600]
+    assert ((top.surface_h - 0.1).abs() <= 0.5).all() and (top.processing_flags == 0).all()
+    depth = top.surface_h - top.geoid_corr_h
+    below = top[depth > 0]
+    theta = np.pi / 2 - 1.4
+    shorter = 1.00029 / 1.34116
+    turn = theta - np.arcsin(np.sin(theta) * shorter)
+    s = depth[depth > 0] / np.cos(theta)
+    p = s * np.sqrt(shorter**2 + 1 - 2 * shorter * np.cos(turn))
+    beta = np.pi / 2 - theta - np.arcsin(s * shorter * np.sin(turn) / p)
+    assert np.allclose(below.dz, p * np.sin(beta)) and np.allclose(below.de, p * np.cos(beta) * np.sin(0.5)) and (below.dz > 0).all()
+    plain = api.run(spark, "bathyx", {"ph_in_extent": 200, "refraction": {"ri_water": 1.00029, "use_water_ri_mask": False}}, root=root).df
+    assert plain.where("abs(dz) > 1e-6").count() == 0
+    for bad in ({"surface": {"model_as_poisson": False}}, {"refraction": {"use_water_ri_mask": True}}, {"surface": {"other": 1}}, {"ph_in_extent": 0}):
+        with pytest.raises(ValueError):
+            api.run(spark, "bathyx", bad, root=root)
+    with pytest.raises(ValueError):
+        api.run(spark, "bathyx", {}, root=str(tmp_path))
+    with pytest.raises(ValueError):
+        api.run(spark, "bathyv", {}, root=root)
+    half = [(19.0, 10.0), (21.0, 10.0), (21.0, 10.001), (19.0, 10.001)]
+    counts = api.run(spark, "bathyv", {"region_mask": half, "cellsize": 0.0001}, root=root).df.collect()
+    assert len(counts) == 2
+    for c in counts:
+        track = staged.where(F.col("gt") == c["gt"]).toPandas()
+        segments = track.sort_values("ph_index").groupby("segment_id").agg(n=("gt", "size"), lat=("latitude", "first"))
+        inside = segments[segments.lat < 10.001]
+        assert (c["photons"], c["segments"], c["photons_inside"], c["segments_inside"], c["errors"]) == (800, len(segments), inside.n.sum(), len(inside), 0)
+
+
 def test_every_request_type_has_a_product(spark):
     for name in api.ENDPOINTS:
         assert api.describe(name)["columns"]
