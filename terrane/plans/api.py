@@ -194,6 +194,8 @@ def _refuse_unsupported(r: Request) -> None:
         raise ValueError("srt is not supported: photons have one confidence, not one for each surface type")
     if r.yapc and r.yapc.get("version", 0) not in (0, 3):
         raise ValueError(f"yapc version {r.yapc['version']} is not supported")
+    _named("surface", r.surface, SURFACE)
+    _named("refraction", r.refraction, REFRACTION)
     for key, s in (r.samples or {}).items():
         _sampling(key, s)
 

@@ -495,7 +495,7 @@ def test_filters_on_columns_that_are_missing_are_errors(spark, tmp_path):
             api.run(spark, "atl03x", parms, root=str(tmp_path))
 
 
-@pytest.mark.parametrize("api_name, parms", [("bathyx", {}), ("bathyv", {}), ("atl03x", {"srt": 1}), ("atl03x", {"yapc": {"version": 2}}), ("atl03x", {"samples": {"z": {"asset": "a", "closest_time": "2020-01-01"}}})])
+@pytest.mark.parametrize("api_name, parms", [("bathyx", {"refraction": {"use_water_ri_mask": True}}), ("bathyx", {"surface": {"model_as_poisson": False}}), ("atl03x", {"srt": 1}), ("atl03x", {"yapc": {"version": 2}}), ("atl03x", {"samples": {"z": {"asset": "a", "closest_time": "2020-01-01"}}})])
 def test_what_no_plan_carries_out_is_refused(spark, api_name, parms):
     with pytest.raises(ValueError, match="unknown request type|supported"):
         api.run(spark, api_name, parms)
